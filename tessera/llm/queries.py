@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, nbsvm, quality_rules, simhash, toxicity, urlfilter
+from . import decontam, langid, linededup, nbsvm, packing, quality_rules, simhash, toxicity, urlfilter
 from .common import table
-from .sql import OP3_SQL, OP4_SQL
+from .sql import OP3_SQL, OP4_SQL, OP9_SQL
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,10 +35,26 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.matches(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return nbsvm.score(docs, nbsvm.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_url_filter, op4_quality_rules, op5_language_id, op8_quality_classifier)}
-ORACLES = {"op3_url_filter": OP3_SQL, "op4_quality_rules": OP4_SQL}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
+    out = linededup.dedup_lines(docs.withColumn("n_lines", n_lines), removed_col="n_removed")
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_url_filter, op4_quality_rules, op5_language_id, op6_decontamination, op7_packing, op8_quality_classifier, op9_line_dedup)}
+ORACLES = {"op3_url_filter": OP3_SQL, "op4_quality_rules": OP4_SQL, "op9_line_dedup": OP9_SQL}

@@ -76,3 +76,25 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
     AND n_stop::DOUBLE / n_words >= 0.02 AND n_dup_lines::DOUBLE / n_lines <= 0.5 AS kept
 FROM f
 """
+
+OP9_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), l AS (
+  SELECT r, doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d
+), f AS (
+  SELECT r, doc_id, i, trim(line, {_BLANKS}) AS line, row_number() OVER (PARTITION BY r ORDER BY i) AS p FROM l WHERE trim(line, {_BLANKS}) <> ''
+), w AS (
+  SELECT r, doc_id, p, line AS a, lead(line) OVER o AS b, lead(line, 2) OVER o AS c FROM f WINDOW o AS (PARTITION BY r ORDER BY i)
+), first AS (
+  SELECT a, b, c, min((doc_id, p)) AS spot FROM w WHERE c IS NOT NULL GROUP BY a, b, c HAVING count(*) > 1
+), later AS (
+  SELECT w.r, w.p FROM w JOIN first USING (a, b, c) WHERE (w.doc_id, w.p) > first.spot
+), gone AS (
+  SELECT DISTINCT f.r, f.i FROM later JOIN f ON f.r = later.r AND f.p BETWEEN later.p AND later.p + 2
+), kept AS (
+  SELECT l.r, count(*) AS n_lines, count(g.i) AS n_removed, coalesce(string_agg(CASE WHEN g.i IS NULL THEN line END, chr(10) ORDER BY l.i), '') AS t
+  FROM l LEFT JOIN gone g ON l.r = g.r AND l.i = g.i GROUP BY l.r
+)
+SELECT d.doc_id, n_lines, n_removed, sha256(kept.t) AS kept_sha256 FROM d JOIN kept USING (r)
+"""
