@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, nbsvm, packing, quality_rules, simhash, toxicity, urlfilter
+from . import decontam, langid, linededup, nbsvm, packing, quality_rules, rindex, simhash, toxicity, urlfilter
 from .common import table
 from .sql import OP3_SQL, OP4_SQL, OP9_SQL
 
@@ -56,5 +56,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_url_filter, op4_quality_rules, op5_language_id, op6_decontamination, op7_packing, op8_quality_classifier, op9_line_dedup)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rindex.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_url_filter, op4_quality_rules, op5_language_id, op6_decontamination, op7_packing, op8_quality_classifier, op9_line_dedup, op10_suffix_dedup)}
 ORACLES = {"op3_url_filter": OP3_SQL, "op4_quality_rules": OP4_SQL, "op9_line_dedup": OP9_SQL}
