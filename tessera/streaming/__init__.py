@@ -1,0 +1 @@
+"""Structured Streaming entry points: none, since the dialect has no streams (README)."""
