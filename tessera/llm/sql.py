@@ -32,11 +32,11 @@ WITH cut AS (
   SELECT level, sum(k * k / n::DOUBLE) AS q, sum(k)::DOUBLE AS k, sum(n)::DOUBLE AS n, count(*)::DOUBLE AS g
   FROM (SELECT 'h' AS level, k, n FROM h UNION ALL SELECT 'd', k, n FROM d UNION ALL SELECT 's', k, n FROM s) WHERE n > 0 GROUP BY level
 ), rho AS (
-  SELECT level, CASE WHEN n <= g THEN 1 / (1 + {STRONGEST}) ELSE
+  SELECT level, CASE WHEN n <= g THEN 1 / (1 + {WEAKEST}::DOUBLE) ELSE
     least(greatest(((q - 2 * mu * k + mu * mu * n) / (mu * (1 - mu)) - g) / (n - g), 1 / (1 + {STRONGEST}::DOUBLE)), 1 / (1 + {WEAKEST}::DOUBLE)) END AS rho FROM spread, t
 ), m AS (
-  SELECT coalesce(max(1 / rho - 1) FILTER (WHERE level = 'h'), {STRONGEST}) AS mh, coalesce(max(1 / rho - 1) FILTER (WHERE level = 'd'), {STRONGEST}) AS md,
-         coalesce(max(1 / rho - 1) FILTER (WHERE level = 's'), {STRONGEST}) AS ms FROM rho
+  SELECT coalesce(max(1 / rho - 1) FILTER (WHERE level = 'h'), {WEAKEST}) AS mh, coalesce(max(1 / rho - 1) FILTER (WHERE level = 'd'), {WEAKEST}) AS md,
+         coalesce(max(1 / rho - 1) FILTER (WHERE level = 's'), {WEAKEST}) AS ms FROM rho
 ), ps AS (SELECT suffix, (k + ms * mu) / (n + ms) AS p FROM s, m, t
 ), pd AS (SELECT d.suffix, d.domain, (d.k + md * ps.p) / (d.n + md) AS p FROM d JOIN ps USING (suffix), m
 ), ab AS (SELECT h.host, h.k + mh * pd.p AS a, h.n - h.k + mh * (1 - pd.p) AS b FROM h JOIN pd USING (suffix, domain), m

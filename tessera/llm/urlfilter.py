@@ -54,10 +54,11 @@ def suffix_and_domain(host: Column) -> tuple[Column, Column]:
 
 
 def _strength(groups: DataFrame, mean: float) -> float:
-    """Prior strength from the spread of the groups' shares around ``mean``."""
-    r = groups.where("n > 0").agg(F.sum(F.col("k") * F.col("k") / F.col("n")).alias("q"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("g")).first()
+    """Prior strength from the spread of the groups' shares around ``mean``;
+    the weakest if the data cannot tell."""
+    r = groups.where("n > 0").agg(F.sum(F.try_divide(F.col("k") * F.col("k"), F.col("n"))).alias("q"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("g")).first()
     if not r["n"] or r["n"] <= r["g"] or not 0 < mean < 1:
-        return STRONGEST
+        return WEAKEST
     spread = (r["q"] - 2 * mean * r["k"] + mean * mean * r["n"]) / (mean * (1 - mean))
     rho = (spread - r["g"]) / (r["n"] - r["g"])
     rho = min(max(rho, 1 / (1 + STRONGEST)), 1 / (1 + WEAKEST))
