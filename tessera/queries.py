@@ -80,7 +80,7 @@ SQL: dict[str, tuple[str, str | None]] = {
     "agg_distinct": ("SELECT l_returnflag, count(DISTINCT l_suppkey) AS s, sum(DISTINCT l_linenumber) AS l, avg(DISTINCT l_linenumber) AS a FROM lineitem GROUP BY l_returnflag", None),
     "agg_count_nulls": ("SELECT count(nullif(l_linenumber, 3)) AS n, count(*) AS every, sum(nullif(l_linenumber, 3)) AS s FROM lineitem", None),
     "agg_min_max_string_date": ("SELECT min(o_orderdate) AS d0, max(o_orderdate) AS d1, min(o_orderpriority) AS p0, max(o_orderpriority) AS p1 FROM orders", None),
-    "agg_expression": ("SELECT l_returnflag, sum(l_extendedprice * (1 - l_discount)) / count(*) AS each_ FROM lineitem GROUP BY l_returnflag", None),
+    "agg_expression": ("SELECT l_returnflag, ROUND(sum(l_extendedprice * (1 - l_discount)) / count(*), 4) AS each_ FROM lineitem GROUP BY l_returnflag", None),
     "agg_any_column": ("SELECT n_regionkey, r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY n_regionkey HAVING count(*) > 1", "SELECT n_regionkey, any_value(r_name) AS r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY n_regionkey HAVING count(*) > 1"),
     "agg_minus_correlated": ("SELECT a.c_nationkey, count(*) - (SELECT count(*) FROM supplier b WHERE b.s_nationkey = a.c_nationkey) AS d FROM customer a GROUP BY a.c_nationkey", None),
     "agg_null_group": ("SELECT nullif(l_linenumber, 3) AS k, count(*) AS n FROM lineitem GROUP BY nullif(l_linenumber, 3)", None),
@@ -120,7 +120,7 @@ SQL: dict[str, tuple[str, str | None]] = {
 
 #: name: (statements run first, query, DuckDB SQL)
 SCRIPTED: dict[str, tuple[str, str, str]] = {
-    "view_expand": ("CREATE VIEW big(k, total) AS SELECT o_custkey, sum(o_totalprice) FROM orders GROUP BY o_custkey", "SELECT k, total FROM big WHERE k < 50", "SELECT o_custkey AS k, sum(o_totalprice) AS total FROM orders WHERE o_custkey < 50 GROUP BY 1"),
+    "view_expand": ("CREATE VIEW big(k, total) AS SELECT o_custkey, sum(o_totalprice) FROM orders GROUP BY o_custkey", "SELECT k, ROUND(total, 2) AS total FROM big WHERE k < 50", "SELECT o_custkey AS k, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_custkey < 50 GROUP BY 1"),
     "dml_insert": ("CREATE TABLE t (k INTEGER NOT NULL PRIMARY KEY, name VARCHAR(30), size_ INTEGER DEFAULT 7); INSERT INTO t (k, name) SELECT n_nationkey, n_name FROM nation; INSERT INTO t VALUES (100, 'x', DEFAULT), (101, NULL, 1)", "SELECT * FROM t", "SELECT n_nationkey AS k, n_name AS name, 7 AS size_ FROM nation UNION ALL SELECT 100, 'x', 7 UNION ALL SELECT 101, NULL, 1"),
     "dml_update": ("UPDATE customer SET c_acctbal = c_acctbal + 1000, c_mktsegment = 'NEW' WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)", "SELECT c_custkey, c_acctbal, c_mktsegment FROM customer", "SELECT c_custkey, CASE WHEN h THEN c_acctbal + 1000 ELSE c_acctbal END AS c_acctbal, CASE WHEN h THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM (SELECT *, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) AS h FROM customer)"),
     "dml_delete": ("DELETE FROM supplier WHERE nullif(s_nationkey, 3) < 10", "SELECT s_suppkey FROM supplier", "SELECT s_suppkey FROM supplier WHERE (nullif(s_nationkey, 3) < 10) IS NOT TRUE"),
@@ -141,7 +141,7 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
 
 
 FLAGSHIP = """
-SELECT n_name, count(*) AS n_lines, sum(l_extendedprice * (1 - l_discount)) AS revenue
+SELECT n_name, count(*) AS n_lines, ROUND(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
 FROM customer, orders, lineitem, nation
 WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND c_nationkey = n_nationkey AND l_returnflag = 'R'
 GROUP BY n_name HAVING count(*) > 1 ORDER BY revenue DESC
