@@ -33,37 +33,51 @@ ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 # ---------------------------------------------------------------- fingerprints
-def fingerprint(text: bytes | None, width: int = 4) -> int:
-    """SimHash of one UTF-8 text; 0 if it has no word."""
+#: Odd multipliers that turn a shingle's hash into the hashes of further fingerprint words.
+SPREAD = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+
+def fingerprints(text: bytes | None, width: int = 4, parts: int = 1) -> np.ndarray:
+    """``parts`` SimHash words of one UTF-8 text, the first over its shingles'
+    XXH64, the others over mixes of it; all 0 if it has no word."""
     words = text.lower().split() if text else []  # bytes: folds A-Z and splits at \x20, \x09-\x0D only
     if not words:
-        return 0
+        return np.zeros(parts, np.uint64)
     flat = b" ".join(words)
     k = max(1, len(words) - width + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     lo, hi = starts[:k].tolist(), ends[-k:].tolist()
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    ones, digest = np.zeros((parts, 64), np.int64), xxhash.xxh64_intdigest
     for at in range(0, k, 1 << 15):  # bounded scratch however long the text
         h = np.array([digest(flat[a:b], SEED) for a, b in zip(lo[at : at + (1 << 15)], hi[at : at + (1 << 15)])], dtype="<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > k, bitorder="little").view("<u8")[0])
+        for i in range(parts):
+            m = h * np.uint64(SPREAD[i])
+            m ^= m >> np.uint64(32) if i else np.uint64(0)
+            ones[i] += np.unpackbits(m.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > k, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def fingerprint(text: bytes | None, width: int = 4) -> int:
+    return int(fingerprints(text, width)[0])
 
 
-def _fingerprint_batches(width, out):
+def _fingerprint_batches(width, parts):
     def run(batches):
         for b in batches:
-            fps = np.fromiter((fingerprint(t, width) for t in b.column(b.num_columns - 1).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps.view(np.int64))], names=out)
+            found = [fingerprints(t, width, parts) for t in b.column("text").to_pylist()]
+            fps = np.array([f[0] for f in found], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64)), pa.array([f[1:].tobytes() for f in found], pa.binary())], names=["doc_id", "fp", "more"])
 
     return run
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long. Null or wordless texts have 0."""
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, parts: int = 1) -> DataFrame:
+    """(doc_id, fp, more): the fingerprint as a signed long, and the bytes of
+    its further words. Null or wordless texts have 0."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(_fingerprint_batches(width, ["doc_id", "fp"]), f"doc_id {kind}, fp long")
+    return src.mapInArrow(_fingerprint_batches(width, parts), f"doc_id {kind}, fp long, more binary")
 
 
 # ------------------------------------------------------------ the index itself
@@ -121,9 +135,11 @@ class GrayForest:
             ends = ends[self.levels[k][1] - 1]
         return ends
 
-    def links(self, max_diff: int, block: int = 2048) -> np.ndarray:
+    def links(self, max_diff: int, block: int = 2048, more: np.ndarray | None = None, max_total: int = 0) -> np.ndarray:
         """A spanning forest of all pairs within ``max_diff`` bits inside a
-        group: for each code the index of its representative."""
+        group: for each code the index of its representative. With ``more``
+        (further words of each code) a pair must also lie within ``max_total``
+        bits over all words."""
         codes, n = self.codes, len(self.codes)
         root = np.arange(n)
         top = len(self.levels) - 1
@@ -157,7 +173,11 @@ class GrayForest:
                     m = np.repeat(starts[pn] - np.cumsum(reps) + reps, reps) + np.arange(len(qq))
                     d = np.repeat(pa_, reps) + np.bitwise_count((codes[qq] ^ codes[m]) & np.repeat(~mask[pn], reps))
                     hit = (d <= max_diff) & (m > qq)
-                    root = _unite(root, qq[hit], m[hit])
+                    qq, m, d = qq[hit], m[hit], d[hit]
+                    if more is not None:
+                        close = d + np.bitwise_count(more[qq] ^ more[m]).sum(axis=1, dtype=np.int64) <= max_total
+                        qq, m = qq[close], m[close]
+                    root = _unite(root, qq, m)
         return root
 
 
@@ -179,42 +199,45 @@ def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _node_links(max_diff):
-    def flush(key, codes):
+def _node_links(max_diff, max_total):
+    def flush(key, codes, ids, more):
         """Edges (member, representative) among Gray-sorted codes, grouped by key."""
         if len(codes) < 2:
             return None
         edge = (key[1:] != key[:-1]).any(axis=1)
         group = np.concatenate(([0], np.cumsum(edge)))
-        size = np.bincount(group)
-        keep = size[group] > 1
+        keep = np.bincount(group)[group] > 1
         if not keep.any():
             return None
-        codes, group = codes[keep], group[keep]
-        root = GrayForest(codes, group).links(max_diff)
+        codes, group, ids = codes[keep], group[keep], ids[keep]
+        root = GrayForest(codes, group).links(max_diff, more=None if more is None else more[keep], max_total=max_total)
         moved = np.flatnonzero(root != np.arange(len(root)))
-        return pa.RecordBatch.from_arrays([pa.array(codes[moved].view(np.int64)), pa.array(codes[root[moved]].view(np.int64))], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], names=["a", "b"])
 
     def run(batches):
-        keys, codes, held = [], [], 0
+        held, size = [], 0
         for b in batches:  # sorted by node and Gray rank
             if not b.num_rows:
                 continue
-            keys.append(np.stack([b.column(i).to_numpy() for i in range(3)], axis=1))
-            codes.append(b.column(3).to_numpy().view(np.uint64))
-            held += b.num_rows
-            if held >= 200_000:  # index whole nodes; the last one may go on
-                key, code = np.concatenate(keys), np.concatenate(codes)
+            more = b.column("more").to_pylist() if max_total else []
+            held.append((np.stack([b.column(c).to_numpy() for c in ("family", "pattern", "cell")], axis=1), b.column("fp").to_numpy().view(np.uint64), b.column("id").to_numpy(), np.frombuffer(b"".join(more), "<u8").reshape(b.num_rows, -1) if more else None))
+            size += b.num_rows
+            if size >= 200_000:  # index whole nodes; the last one may go on
+                key, code, ids, more = _joined(held)
                 cut = int(np.flatnonzero((key != key[-1]).any(axis=1))[-1]) + 1 if (key[0] != key[-1]).any() else 0
-                if cut and (out := flush(key[:cut], code[:cut])) is not None:
+                if cut and (out := flush(key[:cut], code[:cut], ids[:cut], None if more is None else more[:cut])) is not None:
                     yield out
-                keys, codes, held = [key[cut:]], [code[cut:]], len(code) - cut
-        if held and (out := flush(np.concatenate(keys), np.concatenate(codes))) is not None:
+                held, size = [(key[cut:], code[cut:], ids[cut:], None if more is None else more[cut:])], len(code) - cut
+        if size and (out := flush(*_joined(held))) is not None:
             yield out
 
     return run
 
 
+def _joined(held):
+    return tuple(None if parts[0] is None else np.concatenate(parts) for parts in zip(*held))
+
+
 def _rank_column(c):
     for s in (1, 2, 4, 8, 16, 32):
         c = c.bitwiseXOR(F.shiftrightunsigned(c, s))
@@ -229,49 +252,63 @@ def top_masks(max_diff: int, spare: int = 2) -> list[int]:
     return [sum(c) for c in combinations(blocks, spare)]
 
 
-def hamming_edges(fps: DataFrame, max_diff: int = 4, spare: int = 2, node_rows: int = NODE_ROWS) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of the distinct
-    column ``fp`` of ``fps`` within ``max_diff`` bits."""
+def hamming_edges(fps: DataFrame, max_diff: int = 4, spare: int = 2, node_rows: int = NODE_ROWS, max_total: int = 0) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of rows of ``fps``
+    within ``max_diff`` bits. Columns: fp and, optionally, id (a long that
+    stands for the row in edges; else fp) and more (bytes of further words;
+    with ``max_total`` a pair must lie within that many bits over all words)."""
     signed = [m - (1 << 64) if m >> 63 else m for m in top_masks(max_diff, spare)]
-    nodes = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("family", "pattern"))
+    base = fps.select("fp", F.col("id" if "id" in fps.columns else "fp").alias("id"), *(["more"] if max_total else []))
+    nodes = base.select("*", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("family", "pattern"))
     sizes = nodes.groupBy("family", "pattern").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     m = F.ceil(F.col("n") / F.lit(node_rows)).cast("int")
-    held = nodes.join(sizes, ["family", "pattern"]).withColumn("m", m).withColumn("s", F.pmod(F.xxhash64("fp", "family"), F.col("m")).cast("int"))
+    held = nodes.join(sizes, ["family", "pattern"]).withColumn("m", m).withColumn("s", F.pmod(F.xxhash64("id", "family"), F.col("m")).cast("int"))
     # a node of m slices becomes m(m+1)/2 pairs of slices; most have m = 1
-    cells = held.select("family", "pattern", "fp", "s", "m", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("t"))
-    cells = cells.select("family", "pattern", (F.least("s", "t") * F.col("m") + F.greatest("s", "t")).cast("long").alias("cell"), "fp")
+    cells = held.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    cells = cells.withColumn("cell", (F.least("s", "t") * F.col("m") + F.greatest("s", "t")).cast("long"))
     dealt = cells.repartition("family", "pattern", "cell").withColumn("rank", _rank_column(F.col("fp")).bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
-    dealt = dealt.sortWithinPartitions("family", "pattern", "cell", "rank").select(F.col("family").cast("long"), "pattern", "cell", "fp")
-    return dealt.mapInArrow(_node_links(max_diff), "a long, b long")
+    dealt = dealt.sortWithinPartitions("family", "pattern", "cell", "rank").select(F.col("family").cast("long").alias("family"), "pattern", "cell", "fp", "id", *(["more"] if max_total else []))
+    return dealt.mapInArrow(_node_links(max_diff, max_total), "a long, b long")
 
 
 # -------------------------------------------------------------------- operator
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_diff: int = 4) -> DataFrame:
+#: Words of a wide fingerprint, and how far it may differ for texts whose shingle sets have a Jaccard
+#: similarity of 0.8: such sets have a cosine of 0.89, so 39 of 256 bits differ on average, with a deviation of 6.
+WIDE, WIDE_DIFF = 4, 43
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_diff: int = 4, max_total: int = 0) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: one row per input row.
 
     component_id is the smallest doc_id reachable over links of at most
-    ``max_diff`` differing bits, the row's own included. Null, empty and
-    wordless texts have fingerprint zero and link like any other. Rows that
-    repeat a doc_id stay as rows. Null ids are never the smallest unless all
-    ids of the component are null (then component_id is null). Other columns
-    are ignored; an empty table gives an empty result."""
-    marks = staged(with_fingerprints(docs, id_col, text_col, width), "simhash")
-    fps = staged(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "simhash")
-    comp = connected_components(hamming_edges(fps.select("fp"), max_diff))
-    linked = fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").where("n > 1 or label is not null").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
+    ``max_diff`` differing bits, the row's own included. With ``max_total`` a
+    link must also lie within that many of the 256 bits of wide fingerprints.
+    Null, empty and wordless texts have fingerprint zero and link like any
+    other. Rows that repeat a doc_id stay as rows. Null ids are never the
+    smallest unless all ids of the component are null (then component_id is
+    null). Other columns are ignored; an empty table gives an empty result."""
+    marks = with_fingerprints(docs, id_col, text_col, width, WIDE if max_total else 1)
+    marks = marks.withColumn("id", F.xxhash64("fp", "more") if max_total else F.col("fp"))
+    marks = staged(marks if max_total else marks.drop("more"), "simhash")
+    fps = marks.groupBy("id").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), *([F.first("more").alias("more")] if max_total else []))
+    fps = staged(fps, "simhash")
+    comp = connected_components(hamming_edges(fps, max_diff, max_total=max_total))
+    linked = fps.select("id", "first_id", "n").join(comp.withColumnRenamed("node", "id"), "id", "left").where("n > 1 or label is not null").select("id", "first_id", F.coalesce("label", "id").alias("label"))
     linked = staged(linked, "simhash")
     least = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    lookup = linked.join(least, "label").select("fp", "component_id", F.lit(True).alias("found"))
+    lookup = linked.join(least, "label").select("id", "component_id", F.lit(True).alias("found"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return marks.join(lookup, "fp", "left").select("doc_id", hexed, F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return marks.join(lookup, "id", "left").select("doc_id", hexed, F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_diff: int = 4) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, max_diff: int = 10, max_total: int = WIDE_DIFF) -> DataFrame:
     """``docs`` without all but the document of smallest id of each component.
 
+    By default links are texts whose sets of five-word shingles are similar to
+    about 0.8: within 10 of 64 bits in the index, then within 43 of 256.
     Rows that repeat the kept id all stay, as do rows with a null id. All
     columns of ``docs`` are returned."""
-    found = near_duplicates(docs, id_col, text_col, width, max_diff).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    found = near_duplicates(docs, id_col, text_col, width, max_diff, max_total).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
     mark = unused(docs, "gone")
     found = found.withColumnRenamed("gone", mark)
     return docs.join(found, docs[id_col] == found[mark], "left_anti")

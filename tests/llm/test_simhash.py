@@ -89,6 +89,22 @@ def test_whole_operator(docs):
     assert got == {i: (format(int(c), "016x"), int(w)) for (i, _), c, w in zip(rows, codes, want)}
 
 
+def test_wide_links_follow_the_similarity(docs):
+    """Texts of similarity 0.9 link, unrelated ones and those of 0.4 do not."""
+    rng = np.random.default_rng(8)
+    rows, pairs = [], {0.9: [], 0.4: []}
+    for want in [0.9] * 30 + [0.4] * 30:
+        text = [f"w{i}" for i in rng.integers(0, 5000, 400)]
+        copy = list(text)
+        n = {0.9: 20, 0.4: 170}[want]
+        copy[100 : 100 + n] = [f"x{i}" for i in rng.integers(0, 5000, n)]
+        pairs[want].append(len(rows))
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(copy))]
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs(rows)).collect()}
+    assert all(i in kept for i in range(0, len(rows), 2))
+    assert sum(i + 1 not in kept for i in pairs[0.9]) >= 24 and all(i + 1 in kept for i in pairs[0.4])
+
+
 def test_odd_input(odd, spark):
     got = simhash.near_duplicates(odd.withColumn("fp", F.lit(1)).withColumn("label", F.lit(2))).collect()
     assert len(got) == 10
