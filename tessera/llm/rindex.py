@@ -79,16 +79,18 @@ def _binary_rows(keys, values):
     return keys[cut], [np.ascontiguousarray(v).tobytes() for v in np.split(values, cut[1:])] if len(keys) else []
 
 
-ASK = "bucket long, doc_id long, ids binary, hashes binary"
+ASK = "bucket long, text_id long, ids binary, hashes binary"
+SETTLED = 0  # no text id: those are odd
 
 
 def _ask(n_buckets, length):
-    """What a batch knows of minimizers: those in several of its documents are
-    candidates at once (rows with a doc_id); each goes to its bucket once."""
+    """What a batch knows of minimizers: those in several of its texts are
+    candidates at once (rows with a text_id); each goes to its bucket once, so
+    a minimizer that very many texts share reaches its bucket once a batch."""
 
     def run(batches):
         for b in batches:
-            ids, texts = _ids(b.column("doc_id")), b.column("text").to_pylist()
+            ids, texts = b.column("text_id").to_numpy(), b.column("text").to_pylist()
             found = [np.unique(minimizers(t, length)[0]) if t and len(t) >= length else np.zeros(0, np.int64) for t in texts]
             h = np.concatenate([*found, np.zeros(0, np.int64)])
             d = np.repeat(ids, [len(x) for x in found]) if len(found) else np.zeros(0, np.int64)
@@ -102,19 +104,19 @@ def _ask(n_buckets, length):
             several = np.repeat(lo < hi, np.diff(np.append(heads, len(h))))
             docs, blobs = _binary_rows(d[several], h[several])
             n = len(docs)
-            yield pa.RecordBatch.from_arrays([pa.array(docs % n_buckets, pa.int64()), pa.array(docs, pa.int64()), pa.nulls(n, pa.binary()), pa.array(blobs, pa.binary())], names=["bucket", "doc_id", "ids", "hashes"])
-            hh, asked = h[heads], np.where(lo < hi, -1, lo)  # -1: settled here, told to others
+            yield pa.RecordBatch.from_arrays([pa.array(docs % n_buckets, pa.int64()), pa.array(docs, pa.int64()), pa.nulls(n, pa.binary()), pa.array(blobs, pa.binary())], names=["bucket", "text_id", "ids", "hashes"])
+            hh, asked = h[heads], np.where(lo < hi, SETTLED, lo)  # settled here, told to others
             bucket = hh % n_buckets
             keys, blobs = _binary_rows(bucket, hh)
             _, idblobs = _binary_rows(bucket, asked)
             n = len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.nulls(n, pa.int64()), pa.array(idblobs, pa.binary()), pa.array(blobs, pa.binary())], names=["bucket", "doc_id", "ids", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.nulls(n, pa.int64()), pa.array(idblobs, pa.binary()), pa.array(blobs, pa.binary())], names=["bucket", "text_id", "ids", "hashes"])
 
     return run
 
 
 def _answer(batches):
-    """(doc_id, hashes): per bucket, the minimizers that several batches know."""
+    """(text_id, hashes): per bucket, the minimizers that several texts have."""
 
     def flush(hs, ds):
         h, d = np.concatenate(hs), np.concatenate(ds)
@@ -122,15 +124,17 @@ def _answer(batches):
         h, d = h[order], d[order]
         heads = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         n = np.diff(np.append(heads, len(h)))
-        keep = (np.repeat(n, n) > 1) & (d >= 0)
+        several = np.minimum.reduceat(d, heads) < np.maximum.reduceat(d, heads)
+        settled = np.logical_or.reduceat(d == SETTLED, heads)
+        keep = np.repeat(several | settled, n) & (d != SETTLED)
         docs, blobs = _binary_rows(d[keep], h[keep])
-        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "hashes"])
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(blobs, pa.binary())], names=["text_id", "hashes"])
 
     hs, ds, now = [], [], None
     for b in batches:  # sorted by bucket
         rows = b.to_pydict()
         docs, blobs = [], []
-        for bucket, doc, ids, hashes in zip(rows["bucket"], rows["doc_id"], rows["ids"], rows["hashes"]):
+        for bucket, doc, ids, hashes in zip(rows["bucket"], rows["text_id"], rows["ids"], rows["hashes"]):
             if doc is not None:
                 docs.append(doc)
                 blobs.append(hashes)
@@ -142,7 +146,7 @@ def _answer(batches):
             hs.append(np.frombuffer(hashes, np.int64))
             ds.append(np.frombuffer(ids, np.int64))
         if docs:
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(blobs, pa.binary())], names=["text_id", "hashes"])
     if hs:
         yield flush(hs, ds)
 
@@ -381,20 +385,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     slim = staged(slim.join(first.select("sha", "first_id"), "sha", "left").withColumn("is_copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))).drop("first_id"), "bytes")
 
     buckets = max(16, -(-int(total) // bucket_bytes))
-    asked = src.mapInArrow(_ask(buckets, length), ASK).repartition("bucket").sortWithinPartitions("bucket")
-    told = asked.mapInArrow(_answer, "doc_id long, hashes binary").groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
-    wanted = slim.where(f"not is_copy and n_bytes >= {length}").select("doc_id", "k1").distinct().join(told, "doc_id")
-    held = staged(keyed.join(wanted, ["doc_id", "k1"]), "bytes")  # the candidates' texts, moved once
-
-    found = staged(held.mapInArrow(_stretches(length), "mh long, s binary, doc long, k1 long, at long"), "bytes")
-    found = found.withColumn("sk", F.xxhash64("s"))
-    distinct = found.groupBy("mh", "sk", "s").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).withColumn("n", F.length("s").cast("long"))
+    text_id = F.col("k1").bitwiseOR(F.lit(1).cast("long"))
+    asked = keyed.select(text_id.alias("text_id"), "text").mapInArrow(_ask(buckets, length), ASK).repartition("bucket").sortWithinPartitions("bucket")
+    told = asked.mapInArrow(_answer, "text_id long, hashes binary").groupBy("text_id").agg(F.collect_list("hashes").alias("hashes"))
+    wanted = slim.where(f"not is_copy and n_bytes >= {length}").select("doc_id", "k1").distinct().withColumn("text_id", text_id).join(told, "text_id").drop("text_id")
+    found = staged(keyed.join(wanted, ["doc_id", "k1"]).select("doc_id", "k1", "text", "hashes").mapInArrow(_stretches(length), "mh long, s binary, doc long, k1 long, at long"), "bytes")
+
+    distinct = found.groupBy("mh", "s").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).withColumns({"n": F.length("s").cast("long"), "sk": F.xxhash64("s")})
     least = distinct.repartition("mh").sortWithinPartitions("mh").mapInArrow(_resolve(length), "mh long, sk long, starts array<long>, least array<long>")
-    hit = found.select("mh", "sk", "doc", "k1", "at").join(least, ["mh", "sk"])
+    hit = found.select("mh", F.xxhash64("s").alias("sk"), "doc", "k1", "at").join(least, ["mh", "sk"])
     runs = F.transform("least", lambda x, i: F.struct(x.alias("d"), (F.get("starts", i) + F.col("at")).alias("lo"), (F.get("starts", i + 1) + F.col("at") + length - 1).alias("hi")))
     spans = hit.select("doc", "k1", F.filter(runs, lambda x: x["d"] < F.col("doc")).alias("x")).where(F.size("x") > 0)
     spans = spans.groupBy(F.col("doc").alias("doc_id"), "k1").agg(F.flatten(F.collect_list("x")).alias("x")).select("doc_id", "k1", F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"))
-    cut = held.select("doc_id", "k1", "text").join(spans, ["doc_id", "k1"]).mapInArrow(_cut, "doc_id long, k1 long, gone long, spans long, kept string").dropDuplicates(["doc_id", "k1"])
+    spans = staged(spans, "bytes")
+    cut = keyed.join(spans, ["doc_id", "k1"]).select("doc_id", "k1", "text", "lo", "hi").mapInArrow(_cut, "doc_id long, k1 long, gone long, spans long, kept string").dropDuplicates(["doc_id", "k1"])
 
     all_gone = F.col("is_copy") & (F.col("n_bytes") >= length)
     pick = lambda copy, other, none: F.when(all_gone, copy).otherwise(F.coalesce(F.col(other), none))
