@@ -77,8 +77,8 @@ SQL: dict[str, tuple[str, str | None]] = {
     "agg_whole": ("SELECT count(*) AS n, sum(o_totalprice) AS total FROM orders WHERE o_orderkey < 0", None),
     "agg_empty_keyed": ("SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey < 0 GROUP BY o_custkey", None),
     "agg_having": ("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 14 AND sum(o_totalprice) > 1000", None),
-    "agg_distinct": ("SELECT l_returnflag, count(DISTINCT l_suppkey) AS s, sum(DISTINCT l_linenumber) AS l, avg(DISTINCT l_linenumber) AS a FROM lineitem GROUP BY l_returnflag", None),
-    "agg_count_nulls": ("SELECT count(nullif(l_linenumber, 3)) AS n, count(*) AS every, sum(nullif(l_linenumber, 3)) AS s FROM lineitem", None),
+    "agg_distinct": ("SELECT l_returnflag, count(DISTINCT l_suppkey) AS s, CAST(sum(DISTINCT l_linenumber) AS BIGINT) AS l, avg(DISTINCT l_linenumber) AS a FROM lineitem GROUP BY l_returnflag", None),
+    "agg_count_nulls": ("SELECT count(nullif(l_linenumber, 3)) AS n, count(*) AS every, CAST(sum(nullif(l_linenumber, 3)) AS BIGINT) AS s FROM lineitem", None),
     "agg_min_max_string_date": ("SELECT min(o_orderdate) AS d0, max(o_orderdate) AS d1, min(o_orderpriority) AS p0, max(o_orderpriority) AS p1 FROM orders", None),
     "agg_expression": ("SELECT l_returnflag, ROUND(sum(l_extendedprice * (1 - l_discount)) / count(*), 4) AS each_ FROM lineitem GROUP BY l_returnflag", None),
     "agg_any_column": ("SELECT n_regionkey, r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY n_regionkey HAVING count(*) > 1", "SELECT n_regionkey, any_value(r_name) AS r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY n_regionkey HAVING count(*) > 1"),
