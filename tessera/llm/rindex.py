@@ -24,7 +24,7 @@ from .common import staged
 
 LENGTH = 50
 GRAM = 16
-UNIT_BYTES = 1 << 20  # stretches indexed together: whole minimizers, up to about this many bytes
+UNIT_BYTES = 1 << 18  # stretches indexed together: whole minimizers, up to about this many bytes
 LAST = np.iinfo(np.int64).max  # stands for a null id: no document is later
 BARRIER = 0xFF  # never a byte of UTF-8
 U = np.uint64
@@ -180,29 +180,35 @@ def _stretches(length):
 def sorted_suffixes(text: np.ndarray, length: int):
     """Suffix order of barrier-ended stretches, barriers ranked by place, and
     for each row whether it shares ``length`` bytes with the row before."""
-    n = len(text)
-    wide = np.concatenate((text, np.full(8, BARRIER, np.uint8))).astype(U)
+    n, first = len(text), 6
+    wide = np.concatenate((text, np.full(first, BARRIER, np.uint8))).astype(U)
     key, open_ = np.zeros(n, U), np.ones(n, bool)
-    for j in range(8):  # eight bytes, nothing past a barrier
+    for j in range(first):  # six bytes, nothing past a barrier
         c = wide[j : j + n]
         key = (key << U(8)) | np.where(open_, c, U(0))
         open_ &= c != BARRIER
-    sa = np.lexsort((np.arange(n), key))
-    k, o = key[sa], open_[sa]
+    # suffixes that end in these bytes rank by their stretch as well
+    stretch = np.cumsum(text == BARRIER) - (text == BARRIER)
+    tie = np.where(open_, 0, stretch + 1).astype(U)
+    if int(stretch[-1]) < 0xFFFF:
+        key = (key << U(16)) | tie
+        sa = np.argsort(key)
+        new = key[sa][1:] != key[sa][:-1]
+    else:
+        sa = np.lexsort((tie, key))
+        new = (key[sa][1:] != key[sa][:-1]) | (tie[sa][1:] != tie[sa][:-1])
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
-    rank[sa] = np.cumsum(np.concatenate(([0], (k[1:] != k[:-1]) | ~o[1:])))
-    span, partial = 8, None
+    rank[sa] = np.cumsum(np.concatenate(([0], new)))
+    places, span, partial = np.arange(n), first, None
     while True:
         if span <= length < 2 * span:
-            partial = rank.copy()
-            here = span
+            partial, here = rank.copy(), span
         top = int(rank.max())
         if top == n - 1 and partial is not None:
             break
         if top < n - 1:
-            ahead = rank[np.minimum(np.arange(n) + span, n)]
-            key = rank[:n] * (n + 1) + ahead + 1
+            key = rank[:n] * (n + 1) + rank[np.minimum(places + span, n)] + 1
             sa = np.argsort(key)
             k = key[sa]
             rank[sa] = np.cumsum(np.concatenate(([0], k[1:] != k[:-1])))
@@ -232,11 +238,12 @@ class RunLengthIndex:
         order = np.argsort(self.run_byte, kind="stable")
         self.run_first = np.empty(len(size), np.int64)  # row that the first row of a run steps to
         self.run_first[order] = np.cumsum(size[order]) - size[order]
-        self.block_start = np.flatnonzero(~same)  # rows from one of these to the next share ``length`` bytes
+        self.run_of = np.repeat(np.arange(len(size)), size)
+        self.block_of = np.cumsum(~same) - 1  # rows of one block share ``length`` bytes
 
     def step(self, rows: np.ndarray) -> np.ndarray:
         """Last-to-first: the row of each suffix made longer by the byte before it."""
-        run = np.searchsorted(self.run_start, rows, side="right") - 1
+        run = self.run_of[rows]
         return self.run_first[run] + rows - self.run_start[run]
 
     def smallest_documents(self, doc: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
@@ -246,13 +253,13 @@ class RunLengthIndex:
         m = len(self.sizes)
         block = np.zeros(self.rows, np.int64)
         rows, live = self.rows - m + np.arange(m), np.arange(m)  # barriers are the last rows, by place
-        least = np.full(len(self.block_start), LAST)
+        least = np.full(int(self.block_of[-1]) + 1, LAST)
         for t in range(1, int(self.sizes.max(initial=0)) + 1):
             keep = self.sizes[live] >= t
             rows, live = rows[keep], live[keep]
             rows = self.step(rows)
             if t >= length:
-                at = np.searchsorted(self.block_start, rows, side="right") - 1
+                at = self.block_of[rows]
                 block[self.ends[live] - t] = at
                 np.minimum.at(least, at, doc[live])
         return [least[block[e - s : e - length + 1]] for e, s in zip(self.ends.tolist(), self.sizes.tolist())]
@@ -393,6 +400,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     distinct = found.groupBy("mh", "s").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).withColumns({"n": F.length("s").cast("long"), "sk": F.xxhash64("s")})
     least = distinct.repartition("mh").sortWithinPartitions("mh").mapInArrow(_resolve(length), "mh long, sk long, starts array<long>, least array<long>")
+    least = staged(least, "bytes")
     hit = found.select("mh", F.xxhash64("s").alias("sk"), "doc", "k1", "at").join(least, ["mh", "sk"])
     runs = F.transform("least", lambda x, i: F.struct(x.alias("d"), (F.get("starts", i) + F.col("at")).alias("lo"), (F.get("starts", i + 1) + F.col("at") + length - 1).alias("hi")))
     spans = hit.select("doc", "k1", F.filter(runs, lambda x: x["d"] < F.col("doc")).alias("x")).where(F.size("x") > 0)
