@@ -15,6 +15,7 @@ SQL: dict[str, tuple[str, str | None]] = {
     "values_constructor": ("SELECT a, b FROM (VALUES (1, 'one'), (2, 'two'), (3, NULL)) AS v(a, b)", None),
     "derived_table_rename": ("SELECT k, n FROM (SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1) AS x(k, n)", None),
     "correlation_names": ("SELECT a.n_name AS x, b.n_name AS y FROM nation a, nation AS b WHERE a.n_regionkey = b.n_nationkey AND a.n_nationkey < b.n_nationkey", None),
+    "correlation_self_region": ("SELECT a.n_name AS x, b.n_name AS y FROM nation a, nation AS b WHERE a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", None),
     # projection
     "project_arith": ("SELECT l_orderkey, l_linenumber, -l_quantity AS neg, l_extendedprice * (1 - l_discount) AS net, l_quantity + l_tax - 1 AS mixed FROM lineitem WHERE l_partkey < 50", None),
     "select_star_mixed": ("SELECT r.r_name AS first_name, r.* FROM region r", None),
@@ -40,8 +41,10 @@ SQL: dict[str, tuple[str, str | None]] = {
     "semi_exists": ("SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT * FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 49)", None),
     "anti_not_exists": ("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')", None),
     "anti_not_in": ("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 20)", None),
+    "anti_not_in_subset": ("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)", None),
     "anti_not_in_null": ("SELECT count(*) AS n FROM part WHERE p_size NOT IN (SELECT nullif(l_linenumber, 3) FROM lineitem)", None),
     "quant_gt_all": ("SELECT p_partkey FROM part WHERE p_retailprice > ALL (SELECT p_retailprice FROM part WHERE p_size < 40)", "SELECT p_partkey FROM part WHERE p_retailprice > (SELECT max(p_retailprice) FROM part WHERE p_size < 40)"),
+    "quant_gt_all_small": ("SELECT p_partkey FROM part WHERE p_retailprice > ALL (SELECT p_retailprice FROM part WHERE p_size < 3)", "SELECT p_partkey FROM part WHERE p_retailprice > (SELECT max(p_retailprice) FROM part WHERE p_size < 3)"),
     "quant_all_empty": ("SELECT count(*) AS n FROM part WHERE p_retailprice > ALL (SELECT p_retailprice FROM part WHERE p_size < 0)", "SELECT count(*) AS n FROM part"),
     "quant_all_null": ("SELECT count(*) AS n FROM part WHERE (p_size >= ALL (SELECT nullif(l_linenumber, 3) FROM lineitem)) IS UNKNOWN", "SELECT count(*) AS n FROM part WHERE p_size >= (SELECT max(l_linenumber) FROM lineitem WHERE l_linenumber <> 3)"),
     "quant_lt_any": ("SELECT c_custkey FROM customer WHERE c_acctbal < ANY (SELECT s_acctbal FROM supplier WHERE s_nationkey = c_nationkey)", "SELECT c_custkey FROM customer WHERE c_acctbal < (SELECT max(s_acctbal) FROM supplier WHERE s_nationkey = c_nationkey)"),
@@ -65,6 +68,9 @@ SQL: dict[str, tuple[str, str | None]] = {
     "join_cross_theta": ("SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a CROSS JOIN nation b WHERE a.n_nationkey + b.n_nationkey = 24 AND a.n_nationkey < b.n_nationkey", None),
     "join_left_on_extra_cond": ("SELECT c_custkey, o_orderkey FROM customer LEFT OUTER JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P'", None),
     "join_right": ("SELECT s_suppkey, n_nationkey FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey", None),
+    "join_right_using": ("SELECT * FROM (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 15) AS a(k, x) RIGHT JOIN (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey > 10) AS b(k, y) USING (k)", None),
+    "join_left_using": ("SELECT * FROM (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 15) AS a(k, x) LEFT JOIN (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey > 10) AS b(k, y) USING (k)", None),
+    "join_natural_full": ("SELECT * FROM (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 15) AS a(k, x) NATURAL FULL JOIN (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey > 10) AS b(k, y)", None),
     "join_full_on": ("SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a FULL JOIN nation b ON a.n_nationkey = b.n_nationkey + 5", None),
     "join_full_using": ("SELECT * FROM (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 15) AS a(k, x) FULL OUTER JOIN (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey > 10) AS b(k, y) USING (k)", None),
     "join_union": ("SELECT * FROM region UNION JOIN (SELECT n_nationkey, n_name FROM nation) AS n", "SELECT r_regionkey, r_name, NULL::INTEGER AS n_nationkey, NULL::VARCHAR AS n_name FROM region UNION ALL SELECT NULL, NULL, n_nationkey, n_name FROM nation"),
@@ -122,13 +128,17 @@ SQL: dict[str, tuple[str, str | None]] = {
 SCRIPTED: dict[str, tuple[str, str, str]] = {
     "view_expand": ("CREATE VIEW big(k, total) AS SELECT o_custkey, sum(o_totalprice) FROM orders GROUP BY o_custkey", "SELECT k, ROUND(total, 2) AS total FROM big WHERE k < 50", "SELECT o_custkey AS k, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_custkey < 50 GROUP BY 1"),
     "dml_insert": ("CREATE TABLE t (k INTEGER NOT NULL PRIMARY KEY, name VARCHAR(30), size_ INTEGER DEFAULT 7); INSERT INTO t (k, name) SELECT n_nationkey, n_name FROM nation; INSERT INTO t VALUES (100, 'x', DEFAULT), (101, NULL, 1)", "SELECT * FROM t", "SELECT n_nationkey AS k, n_name AS name, 7 AS size_ FROM nation UNION ALL SELECT 100, 'x', 7 UNION ALL SELECT 101, NULL, 1"),
+    "dml_default_values": ("CREATE TABLE t (a INTEGER DEFAULT 4, b VARCHAR(9) DEFAULT 'none', c INTEGER); INSERT INTO t DEFAULT VALUES; INSERT INTO t (c) VALUES (1); UPDATE t SET b = 'x' WHERE c = 1; UPDATE t SET b = DEFAULT WHERE c = 1", "SELECT a, b, c FROM t", "SELECT * FROM (VALUES (4, 'none', NULL), (4, 'none', 1)) AS v(a, b, c)"),
+    "alter_table": ("CREATE TABLE t (k INTEGER PRIMARY KEY, gone INTEGER); INSERT INTO t SELECT r_regionkey, 1 FROM region; ALTER TABLE t ADD COLUMN added INTEGER DEFAULT 9; ALTER TABLE t DROP COLUMN gone RESTRICT; INSERT INTO t (k) VALUES (50)", "SELECT k, added FROM t WHERE k = 50", "SELECT 50 AS k, 9 AS added"),
     "dml_update": ("UPDATE customer SET c_acctbal = c_acctbal + 1000, c_mktsegment = 'NEW' WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)", "SELECT c_custkey, c_acctbal, c_mktsegment FROM customer", "SELECT c_custkey, CASE WHEN h THEN c_acctbal + 1000 ELSE c_acctbal END AS c_acctbal, CASE WHEN h THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM (SELECT *, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) AS h FROM customer)"),
     "dml_delete": ("DELETE FROM supplier WHERE nullif(s_nationkey, 3) < 10", "SELECT s_suppkey FROM supplier", "SELECT s_suppkey FROM supplier WHERE (nullif(s_nationkey, 3) < 10) IS NOT TRUE"),
     "transaction_rollback": ("DELETE FROM nation WHERE n_regionkey = 1; COMMIT; DELETE FROM nation; ROLLBACK", "SELECT n_nationkey FROM nation", "SELECT n_nationkey FROM nation WHERE n_regionkey <> 1"),
     "fk_cascade_delete": ("CREATE TABLE p (id INTEGER PRIMARY KEY); CREATE TABLE c (id INTEGER PRIMARY KEY, pid INTEGER REFERENCES p (id) ON DELETE CASCADE); INSERT INTO p SELECT r_regionkey FROM region; INSERT INTO c SELECT n_nationkey, n_regionkey FROM nation; DELETE FROM p WHERE id > 2", "SELECT id, pid FROM c", "SELECT n_nationkey AS id, n_regionkey AS pid FROM nation WHERE n_regionkey <= 2"),
     "fk_update_cascade_set_null": ("CREATE TABLE p (id INTEGER PRIMARY KEY); CREATE TABLE c (id INTEGER PRIMARY KEY, pid INTEGER REFERENCES p (id) ON UPDATE CASCADE ON DELETE SET NULL); INSERT INTO p SELECT r_regionkey FROM region; INSERT INTO c SELECT n_nationkey, n_regionkey FROM nation; UPDATE p SET id = id + 100 WHERE id < 2; DELETE FROM p WHERE id = 3", "SELECT id, pid FROM c", "SELECT n_nationkey AS id, CASE WHEN n_regionkey < 2 THEN n_regionkey + 100 WHEN n_regionkey <> 3 THEN n_regionkey END AS pid FROM nation"),
+    "fk_set_default": ("CREATE TABLE p (id INTEGER PRIMARY KEY); CREATE TABLE c (id INTEGER PRIMARY KEY, pid INTEGER DEFAULT 0 REFERENCES p (id) ON DELETE SET DEFAULT); INSERT INTO p SELECT r_regionkey FROM region; INSERT INTO c SELECT n_nationkey, n_regionkey FROM nation; DELETE FROM p WHERE id > 2", "SELECT id, pid FROM c", "SELECT n_nationkey AS id, CASE WHEN n_regionkey > 2 THEN 0 ELSE n_regionkey END AS pid FROM nation"),
     "udf_sql": ("CREATE FUNCTION net(p DOUBLE PRECISION, d DOUBLE PRECISION) RETURNS DOUBLE PRECISION RETURN p * (1 - d)", "SELECT l_orderkey, l_linenumber, net(l_extendedprice, l_discount) AS x FROM lineitem WHERE l_partkey < 30", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS x FROM lineitem WHERE l_partkey < 30"),
     "psm_loop": ("CREATE TABLE t (n INTEGER); CREATE PROCEDURE fill(IN top INTEGER) BEGIN DECLARE i INTEGER DEFAULT 0; WHILE i < top DO SET i = i + 1; IF i <> 2 THEN INSERT INTO t VALUES (i); END IF; END WHILE; END; CALL fill(4)", "SELECT n FROM t", "SELECT * FROM (VALUES (1), (3), (4)) AS v(n)"),
+    "psm_cursor": ("CREATE TABLE t (n INTEGER, name VARCHAR(25)); CREATE PROCEDURE copy_regions() BEGIN DECLARE k INTEGER; DECLARE name VARCHAR(25); DECLARE c CURSOR FOR SELECT r_regionkey, r_name FROM region ORDER BY r_regionkey; OPEN c; FETCH c INTO k, name; WHILE SQLSTATE <> '02000' DO INSERT INTO t VALUES (k * 10, name); FETCH c INTO k, name; END WHILE; CLOSE c; END; CALL copy_regions()", "SELECT n, name FROM t", "SELECT r_regionkey * 10 AS n, r_name AS name FROM region"),
     "sequences": ("CREATE SEQUENCE s STARTING AT 5; CREATE TABLE t (n INTEGER); INSERT INTO t VALUES (NEXT_SEQUENCE(s)), (NEXT_SEQUENCE(s)); INSERT INTO t VALUES (LATEST_SEQUENCE(s))", "SELECT n FROM t", "SELECT * FROM (VALUES (5), (6), (6)) AS v(n)"),
     "domains": ("CREATE DOMAIN small AS INTEGER DEFAULT 3 CHECK (VALUE < 10); CREATE TABLE t (a small, b INTEGER); INSERT INTO t (b) VALUES (1), (2)", "SELECT a, b FROM t", "SELECT * FROM (VALUES (3, 1), (3, 2)) AS v(a, b)"),
     "information_schema": ("CREATE TABLE t (a INTEGER NOT NULL PRIMARY KEY, b VARCHAR(9))", "SELECT table_name, column_name, ordinal_position, is_nullable, data_type FROM INFORMATION_SCHEMA.columns WHERE table_name = 't'", "SELECT * FROM (VALUES ('t', 'a', 1, 'NO', 'INTEGER'), ('t', 'b', 2, 'YES', 'CHARACTER VARYING')) AS v(table_name, column_name, ordinal_position, is_nullable, data_type)"),
