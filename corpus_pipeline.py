@@ -27,8 +27,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies: five-word
-    shingles, similarity about 0.8."""
+    """The document of smallest id of each group of near copies: sets of
+    five-word shingles with a Jaccard similarity of at least 0.8."""
     return simhash.drop_near_duplicates(docs)
 
 

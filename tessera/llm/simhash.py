@@ -301,14 +301,141 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marks.join(lookup, "id", "left").select("doc_id", hexed, F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, max_diff: int = 10, max_total: int = WIDE_DIFF) -> DataFrame:
+# ------------------------------------------------------------- exact similarity
+#: Bands of rows of minima. Sets of Jaccard similarity 0.8 share a band with probability 1 - (1 - 0.8^6)^32 = 0.99994.
+BANDS, BAND_ROWS = 32, 6
+MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Shingles (and 64 a text) of one candidate group that one task compares; larger groups are dealt as pairs of slices.
+CELL_WEIGHT = 1 << 21
+
+
+def shingle_set(text: bytes | None, width: int = 5) -> np.ndarray:
+    """The sorted distinct XXH64 of a text's shingles; empty if it has no word."""
+    words = text.lower().split() if text else []
+    k = max(1, len(words) - width + 1) if words else 0
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(k)), np.uint64, k))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key for each band of minima of a non-empty set."""
+    low = np.full(BANDS * BAND_ROWS, ALL)
+    for at in range(0, len(hashes), 4096):
+        low = np.minimum(low, (hashes[None, at : at + 4096] * MULTIPLIERS[:, None]).min(axis=1))
+    low = (low ^ (low >> np.uint64(29))) * MULTIPLIERS[::-1]
+    key = (low ^ (low >> np.uint64(32))).reshape(BANDS, BAND_ROWS).sum(axis=1, dtype=np.uint64)
+    return key * np.uint64(SPREAD[1]) + np.arange(BANDS, dtype=np.uint64) * np.uint64(SPREAD[2])
+
+
+def _mark_batches(width):
+    def run(batches):
+        for b in batches:
+            fps, ids, sizes, bands = [], [], [], []
+            for text in b.column("text").to_pylist():
+                hashes = shingle_set(text, width)
+                fps.append(fingerprint(text, width))
+                ids.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+                sizes.append(len(hashes))
+                bands.append(band_keys(hashes).view(np.int64) if len(hashes) else np.empty(0, np.int64))
+            made = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (ids, fps)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), *made, pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_key", "id", "fp", "size", "bands"])
+
+    return run
+
+
+def exact_links(sets: list[np.ndarray]) -> np.ndarray:
+    """A spanning forest of all pairs of sets of Jaccard similarity 0.8 or
+    more: for each set the index of its representative."""
+    sizes = np.array([len(s) for s in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts, root = np.cumsum(sizes) - sizes, np.arange(len(sets))
+    marked = np.zeros(len(flat), bool)
+    for i in range(len(sets) - 1):
+        j = np.arange(i + 1, len(sets))
+        j = j[(root[j] != root[i]) & (5 * np.minimum(sizes[j], sizes[i]) >= 4 * np.maximum(sizes[j], sizes[i]))]
+        if not len(j):
+            continue
+        own = flat[starts[i] : starts[i] + sizes[i]]
+        marked[own] = True
+        reps = sizes[j]
+        heads = np.cumsum(reps) - reps
+        held = flat[np.repeat(starts[j] - heads, reps) + np.arange(int(reps.sum()))]
+        common = np.add.reduceat(marked[held].astype(np.int64), heads)
+        marked[own] = False
+        j = j[9 * common >= 4 * (sizes[i] + sizes[j])]  # common / (sum - common) >= 0.8
+        root = _unite(root, np.full(len(j), i), j)
+    return root
+
+
+def _exact_batches(width):
+    def flush(held):
+        ids, sets = np.array([h[0] for h in held]), [h[1] for h in held]
+        root = exact_links(sets)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], names=["a", "b"])
+
+    def run(batches):
+        key, held = None, []
+        for b in batches:  # sorted by group and cell
+            for group, cell, i, text in zip(*(b.column(c).to_pylist() for c in ("label", "cell", "id", "text"))):
+                if (group, cell) != key:
+                    if len(held) > 1:
+                        yield flush(held)
+                    key, held = (group, cell), []
+                held.append((i, shingle_set(text, width)))
+        if len(held) > 1:
+            yield flush(held)
+
+    return run
+
+
+def similar_edges(texts: DataFrame, width: int = 5, cell_weight: int = CELL_WEIGHT) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of texts of one
+    candidate group (label) with shingle sets of Jaccard similarity 0.8 or
+    more. Columns: label, id, size and text."""
+    weigh = texts.groupBy("label").agg(F.ceil(F.sum(F.col("size") + 64) / F.lit(cell_weight)).cast("int").alias("m"))
+    held = texts.join(weigh, "label").withColumn("s", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
+    cells = held.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    cells = cells.withColumn("cell", (F.least("s", "t") * F.col("m") + F.greatest("s", "t")).cast("long"))
+    dealt = cells.select("label", "cell", "id", "text").repartition("label", "cell").sortWithinPartitions("label", "cell", "id")
+    return dealt.mapInArrow(_exact_batches(width), "a long, b long")
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, max_diff: int = 10, cell_weight: int = CELL_WEIGHT) -> DataFrame:
+    """doc_id, component_id: one row per input row, the smallest doc_id over
+    links of shingle-set Jaccard similarity 0.8 or more.
+
+    The Gray index (``max_diff`` of 64 bits) and bands of minima only name
+    candidates; each link is decided by the sets themselves. Equal sets,
+    those of wordless texts included, always link."""
+    src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    kind = src.schema["doc_id"].dataType.simpleString()
+    marks = staged(src.mapInArrow(_mark_batches(width), f"doc_id {kind}, text_key long, id long, fp long, size long, bands array<long>"), "similar")
+    sets = marks.groupBy("id").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.min("text_key").alias("text_key"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    sets = staged(sets, "similar")
+    # staged one after the other, so that only one's shuffle files stand at a time
+    coded = staged(hamming_edges(sets.where("size > 0").select("fp", "id"), max_diff), "similar")
+    keyed = sets.select("id", F.explode("bands").alias("band"))
+    hubs = keyed.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "hub")
+    banded = staged(keyed.join(hubs, "band").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "similar")
+    groups = connected_components(coded.unionByName(banded)).withColumnRenamed("node", "id")
+    members = staged(groups.join(sets.select("id", "text_key", "size"), "id"), "similar")
+    texts = staged(src.select("text_key", "text").join(members, "text_key").dropDuplicates(["id"]).select("label", "id", "size", "text"), "similar")
+    comp = connected_components(similar_edges(texts, width, cell_weight)).withColumnRenamed("node", "id")
+    linked = sets.select("id", "first_id", "n").join(comp, "id", "left").where("n > 1 or label is not null").select("id", "first_id", F.coalesce("label", "id").alias("label"))
+    linked = staged(linked, "similar")
+    least = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    lookup = linked.join(least, "label").select("id", "component_id", F.lit(True).alias("found"))
+    return marks.select("doc_id", "id").join(lookup, "id", "left").select("doc_id", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, max_diff: int = 10) -> DataFrame:
     """``docs`` without all but the document of smallest id of each component.
 
-    By default links are texts whose sets of five-word shingles are similar to
-    about 0.8: within 10 of 64 bits in the index, then within 43 of 256.
+    Links are texts whose sets of ``width``-word shingles have a Jaccard
+    similarity of at least 0.8, compared exactly among candidates.
     Rows that repeat the kept id all stay, as do rows with a null id. All
     columns of ``docs`` are returned."""
-    found = near_duplicates(docs, id_col, text_col, width, max_diff, max_total).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    found = similar_components(docs, id_col, text_col, width, max_diff).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
     mark = unused(docs, "gone")
     found = found.withColumnRenamed("gone", mark)
     return docs.join(found, docs[id_col] == found[mark], "left_anti")

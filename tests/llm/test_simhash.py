@@ -122,3 +122,37 @@ def test_components_of_a_chain_and_a_star(spark):
     got = dict(components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert all(got[i] == 0 for i in range(41)) and all(got[200 + i] == 100 for i in range(50))
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def words_set(text, width=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def similar(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+@pytest.mark.parametrize("cell_weight", [500, simhash.CELL_WEIGHT])
+def test_near_copies_follow_exact_jaccard(docs, cell_weight):
+    """Pairs on both sides of 0.8, short texts, a group of many near copies."""
+    rng = np.random.default_rng(17)
+    rows = [(0, None), (1, " "), (2, "two words"), (3, "two  words")]
+    for k in range(160):
+        size = int(rng.choice([12, 20, 60, 150, 400]))
+        text = [f"w{i}" for i in rng.integers(0, 5000, size)]
+        copy, n = list(text), max(1, int(size * rng.uniform(0.02, 0.2)))
+        copy[size // 2 : size // 2 + n] = [f"x{i}" for i in rng.integers(0, 5000, n)]
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(copy if k % 2 else text[: size - n]))]
+    hot = [f"h{i}" for i in rng.integers(0, 5000, 120)]
+    for _ in range(60):
+        copy = list(hot)
+        for i in rng.integers(0, 120, int(rng.integers(1, 4))):
+            copy[i] = f"y{rng.integers(0, 5000)}"
+        rows.append((len(rows), " ".join(copy)))
+    sets = [words_set(t) for _, t in rows]
+    near = np.array([[similar(a, b) for b in sets] for a in sets])
+    want = slow_components([i for i, _ in rows], near)
+    got = dict(simhash.similar_components(docs(rows), cell_weight=cell_weight).collect())
+    assert [got[i] for i, _ in rows] == want.tolist()
+    assert 40 < sum(near[i, i + 1] for i in range(4, 324, 2)) < 120
