@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of three lines cut out; n_chars follows the text."""
-    out = linededup.dedup_lines(docs, removed_col="lines_gone")
+    """Repeated runs of three lines, or of 50 words in fewer, cut out; n_chars follows the text."""
+    out = linededup.dedup_lines(docs, removed_col="lines_gone", min_words=linededup.MIN_WORDS)
     return out.withColumn("n_chars", F.when(F.col("lines_gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -5,6 +5,8 @@ the same window minima wherever it stands, so minima found once only rule
 their windows out. Windows whose minimum repeats are joined by the hash of all
 their lines: that is the match around the fingerprint, extended to both sides.
 Each later window goes, and runs longer than a window go window by window.
+With ``min_words``, shorter runs of at least so many words are windows as well,
+each found by the hash of all its lines.
 """
 
 from __future__ import annotations
@@ -12,35 +14,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, staged, unused
+from .common import WS, WS_CLASS, staged, unused
 
 MIN_RUN = 3  # lines
+MIN_WORDS = 50  # a passage's worth, for runs of fewer lines
 
 
 def _blank_trimmed(x):
     return F.btrim(x, F.lit(WS))
 
 
-def repeated_lines(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
     """(doc_id, row_key, gone): for each text with repeated runs the indices
     of the lines that go; ``row_key`` is the hash of id and text."""
     lines = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1)
     src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row_key"), lines.alias("lines"))
-    full = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("i"), F.when(_blank_trimmed(x) != "", F.xxhash64(_blank_trimmed(x))).alias("h"))), lambda s: s["h"].isNotNull())
-    src = src.select("doc_id", "row_key", full.alias("full")).where(F.size("full") >= min_run)
+    words = lambda x: [F.size(F.split(_blank_trimmed(x), f"{WS_CLASS}+")).alias("n")] if min_words else []
+    full = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("i"), F.when(_blank_trimmed(x) != "", F.xxhash64(_blank_trimmed(x))).alias("h"), *words(x))), lambda s: s["h"].isNotNull())
+    src = src.select("doc_id", "row_key", full.alias("full")).where(F.size("full") >= (1 if min_words else min_run))
     at = lambda p, j: F.get(F.col("full"), p + j)
-    window = F.transform(
-        F.sequence(F.lit(0), F.size("full") - min_run),
-        lambda p: F.struct(
-            p.alias("p"),
-            F.array_min(F.array(*[F.struct(at(p, j)["h"].alias("h"), (-(p + j)).alias("at")) for j in range(min_run)])).alias("low"),
-            F.xxhash64(*[at(p, j)["h"] for j in range(min_run)]).alias("w1"),
-            F.xxhash64(F.lit("w"), *[at(p, j)["h"] for j in reversed(range(min_run))]).alias("w2"),
-            F.array(*[at(p, j)["i"] for j in range(min_run)]).alias("held"),
-        ),
-    )
+    def places(run):
+        every = F.sequence(F.lit(0), F.size("full") - run)
+        return F.when(F.size("full") >= run, every).otherwise(F.array().cast("array<int>")) if min_words else every
+
+    def window(p, run, low, *mark):
+        hashes = [at(p, j)["h"] for j in range(run)]
+        return F.struct(p.alias("p"), low.alias("low"), F.xxhash64(*mark, *hashes).alias("w1"), F.xxhash64(F.lit("w"), *mark, *reversed(hashes)).alias("w2"), F.array(*[at(p, j)["i"] for j in range(run)]).alias("held"))
+
+    def full_window(p):
+        return window(p, min_run, F.array_min(F.array(*[F.struct(at(p, j)["h"].alias("h"), (-(p + j)).alias("at")) for j in range(min_run)])))
+
+    def long_windows(run):
+        long = F.filter(places(run), lambda p: sum((at(p, j)["n"] for j in range(run)), F.lit(0)) >= min_words)
+        return F.transform(long, lambda p: window(p, run, F.struct(F.xxhash64(F.lit(run), *[at(p, j)["h"] for j in range(run)]).alias("h"), (-p).alias("at")), F.lit(run)))
+
+    window_list = F.transform(places(min_run), full_window)
+    if min_words:
+        window_list = F.concat(window_list, *[long_windows(run) for run in range(1, min_run)])
     # a row repeated under one id counts once
-    windows = src.dropDuplicates(["doc_id", "row_key"]).select("doc_id", "row_key", F.explode(window).alias("w")).select("doc_id", "row_key", "w.*")
+    windows = src.dropDuplicates(["doc_id", "row_key"]).select("doc_id", "row_key", F.explode(window_list).alias("w")).select("doc_id", "row_key", "w.*")
     windows = staged(windows, "lines")
     prints = windows.select("doc_id", "row_key", F.col("low.h").alias("print"), F.col("low.at").alias("at"))
     # neighbouring windows select the same line once: a print repeats if its selected places differ
@@ -53,18 +65,19 @@ def repeated_lines(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_i
     return later.groupBy("doc_id", "row_key").agg(F.array_distinct(F.flatten(F.collect_list("held"))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None, min_words: int | None = None) -> DataFrame:
     """``docs`` with repeated runs of lines cut out of the text; all rows stay.
 
     A line goes if it lies in a run of ``min_run`` lines that also starts at
-    an earlier place, by (id, line); null ids come last. Lines compare without
+    an earlier place, by (id, line); null ids come last. With ``min_words``
+    the same holds for runs of fewer lines that have so many words. Lines compare without
     surrounding white space; lines without a character besides white space
     are no part of runs and stay. Texts without such runs, null ones included, are
     unchanged; a text may become empty. Rows that repeat id and text count as
     one document and share its fate. ``removed_col`` names a column for the number
     of removed lines; other columns are kept as they are."""
     key, rid, gone = unused(docs, "row_key"), unused(docs, "found_id"), unused(docs, "gone")
-    found = repeated_lines(docs, min_run, id_col, text_col).select(F.col("doc_id").alias(rid), F.col("row_key").alias(key), F.col("gone").alias(gone))
+    found = repeated_lines(docs, min_run, id_col, text_col, min_words).select(F.col("doc_id").alias(rid), F.col("row_key").alias(key), F.col("gone").alias(gone))
     d = docs.withColumn(f"{key}_", F.xxhash64(id_col, text_col))
     d = d.join(found, (d[f"{key}_"] == found[key]) & d[id_col].eqNullSafe(found[rid]), "left")
     lines = unused(docs, "all_lines")

@@ -123,6 +123,40 @@ def test_line_dedup_by_brute_force(docs):
     assert sorted(map(tuple, got), key=repr) == slow_line_dedup(rows)
 
 
+def slow_long_dedup(rows, run=3, words=50):
+    """Later runs of three lines, and of fewer with many words, cut out."""
+    full = {i: [(k, x.strip(" \t\x0b\x0c\r")) for k, x in enumerate(t.split("\n")) if x.strip(" \t\x0b\x0c\r")] for i, t in rows}
+    seen, gone = set(), {i: set() for i, _ in rows}
+    for i, _ in sorted(rows):
+        for p in range(len(full[i])):
+            for r in range(1, run + 1):
+                held = full[i][p : p + r]
+                key = tuple(x for _, x in held)
+                if len(held) == r and (r == run or sum(len(x.split()) for x in key) >= words):
+                    gone[i] |= {k for k, _ in held} if key in seen else set()
+                    seen.add(key)
+    return sorted((i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])) for i, t in rows)
+
+
+def test_line_dedup_cuts_long_runs_of_few_lines(docs):
+    import random
+
+    random.seed(6)
+    lines = [" ".join(f"l{k}w{j}" for j in range(n)) for k, n in enumerate([1, 5, 20, 24, 25, 26, 30, 49, 50, 51, 90])]
+    rows = [(i, "\n".join(random.choice(["", "{} ", " {}", "{}"]).format(random.choice(lines)) if random.random() < 0.6 else f"own {i} {k}" for k in range(random.randint(1, 6)))) for i in range(80)]
+    got = linededup.dedup_lines(docs(rows), min_words=50).select("doc_id", "text").collect()
+    want = slow_long_dedup(rows)
+    assert sorted(map(tuple, got)) == want != slow_line_dedup(rows)
+
+
+def test_pipeline_cuts_a_long_line(spark, docs):
+    import corpus_pipeline
+
+    line = " ".join(f"w{i}" for i in range(60))
+    out = corpus_pipeline.dedup_lines(spark, docs([(1, line), (2, f"other\n{line}"), (3, "short\nshort")]), None).collect()
+    assert {r.doc_id: (r.text, r.n_chars) for r in out} == {1: (line, len(line)), 2: ("other", 5), 3: ("short\nshort", 11)}
+
+
 def test_line_dedup_odd_input(odd):
     d = odd.withColumn("row_key", F.lit(1)).withColumn("Gone", F.lit(2))
     got = linededup.dedup_lines(d, removed_col="n_gone")
