@@ -19,6 +19,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _local_dirs: dict[str, str] = {}
+_paths: dict = {}  # staged folders that still stand, and the context that wrote each
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,7 +54,32 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _paths:
+        atexit.register(_clear)
+    _paths[path] = spark.sparkContext
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def _delete(sc, path: str) -> None:
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def released(df: DataFrame) -> None:
+    """Deletes what ``staged`` wrote for ``df``, once nothing reads it any more."""
+    path = df._staged_at
+    _delete(_paths.pop(path), path)
+
+
+def _clear() -> None:
+    """At the driver's end: what results were read from until then."""
+    for path, sc in list(_paths.items()):
+        try:
+            _delete(sc, path)
+        except Exception:  # the JVM is gone, or the folder
+            return
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,14 +1,15 @@
 """Repeated byte strings across documents by a run-length suffix index.
 
-A string of ``length`` bytes is routed by its minimizer, the 16-byte gram of
-least hash in it: equal strings have equal minimizers at equal places. Grams
-that select windows in one document only need no index. What is left are short
-stretches, all windows of one minimizer in a row; stretches of the same
-minimizers are gathered, equal ones once, into run-length indexes: a
-Burrows-Wheeler transform in runs, with the text position sampled at each
-run's end. Every stretch is then streamed through the index by last-to-first
-steps; the statistic kept for each of its positions is whether at least
-``length`` bytes match elsewhere, and the smallest document that has them.
+Every ``length``-byte string (window) is routed by its minimizer, the 16-byte
+gram of least hash in it; windows in a row with one minimizer form a stretch.
+Equal strings have equal minimizers, so what repeats meets under one minimizer.
+Stretches travel as pairs of hashes first: of equal stretches only the one of the
+smallest document goes on, and only minimizers with several different stretches
+need bytes. Those stretches go into run-length indexes (a Burrows-Wheeler
+transform kept in runs, with the text place sampled at both ends of each run),
+and every stretch that has a smaller document beside it is streamed through as
+a query: its matching statistics say where at least ``length`` bytes match, and
+in which block of the index; a window goes if the block holds a smaller document.
 """
 
 from __future__ import annotations
@@ -17,17 +18,25 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import released, staged
 
 LENGTH = 50
 GRAM = 16
-UNIT_BYTES = 1 << 18  # stretches indexed together: whole minimizers, up to about this many bytes
+PIECE = 512  # windows of a stretch at most; longer ones (of one repeated letter, say) are cut
+CHUNK = 1 << 18  # bytes of a text whose hashes are held at a time
+SLICE_BYTES = 16 << 20  # bytes of texts, or of stretches, that a task works on at a time
+UNIT_BYTES = 1 << 19  # stretches indexed together: whole minimizers, from about this many bytes on
+#: A minimizer expected in more stretches than this, or than a millionth of all, is cut into single windows.
+COMMON = 4096
+SAMPLE_HITS = 64  # times that such a minimizer is expected in the sample of texts that finds it
 LAST = np.iinfo(np.int64).max  # stands for a null id: no document is later
 BARRIER = 0xFF  # never a byte of UTF-8
 U = np.uint64
+BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse mod 2^64
 
 
 # ------------------------------------------------------------------ minimizers
@@ -40,140 +49,62 @@ def gram_hashes(text: bytes, k: int = GRAM) -> np.ndarray:
     h = np.zeros(n, U)
     for j in range(0, k, 8):
         h ^= a[j : j + n]
-        h *= U(0x9E3779B97F4A7C15)
+        h *= U(BASE)
         h ^= h >> U(29)
     h *= U(0xBF58476D1CE4E5B9)
     return h ^ (h >> U(32))
 
 
-def minimizers(text: bytes, length: int = LENGTH, k: int = GRAM, chunk: int = 1 << 19):
-    """(hash, place, first window, end of windows) of the runs of windows that
-    share a minimizer; ties go to the first gram. The hash has 44 bits."""
-    parts = []
-    total = len(text) - length + 1
-    for at in range(0, max(0, total), chunk):
-        n = min(chunk, total - at)
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of BASE and of its inverse, mod 2^64."""
+    if n not in _tables:
+        up, down = (np.full(n, x, U) for x in (BASE, pow(BASE, -1, 1 << 64)))
+        up[0] = down[0] = 1
+        _tables[n] = np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
+    return _tables[n]
+
+
+def stretches(text: bytes, length: int = LENGTH, common: np.ndarray | None = None, k: int = GRAM) -> np.ndarray:
+    """Rows (minimizer's hash, hash of the stretch's bytes, first window, end
+    of windows), as integers, of a text's stretches in order. Stretches of minimizers in
+    ``common`` (sorted) are cut into windows, routed by their own hashes."""
+    parts, total = [], len(text) - length + 1
+    up, down = powers(CHUNK + length)
+    for at in range(0, max(0, total), CHUNK):
+        n = min(CHUNK, total - at)
         h = gram_hashes(text[at : at + n + length - 1], k)
-        m = (h & ~U(0xFFFFF)) | np.arange(len(h), dtype=U)
-        span, s = length - k + 1, 1
+        m, span, s = h, length - k + 1, 1
         while 2 * s <= span:
             m = np.minimum(m[:-s], m[s:])
             s *= 2
         if s < span:
             m = np.minimum(m[:n], m[span - s : span - s + n])
-        starts = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
-        ends = np.append(starts[1:], n)
-        parts.append(np.stack([(m[starts] >> U(20)).astype(np.int64), (m[starts] & U(0xFFFFF)).astype(np.int64) + at, starts + at, ends + at]))
+        lo = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
+        size = np.diff(np.append(lo, n))
+        most = np.full(len(lo), PIECE)
+        if common is not None and len(common):
+            most[_held(m[lo], common)] = 1
+        if (size > most).any():
+            cuts = -(-size // most)
+            nth = np.arange(int(cuts.sum())) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+            lo, single = np.repeat(lo, cuts) + nth * np.repeat(most, cuts), np.repeat(most == 1, cuts)
+        else:
+            single = most == 1
+        hi = np.append(lo[1:], n)
+        sums = np.concatenate((np.zeros(1, U), np.cumsum(h * up[: len(h)], dtype=U)))
+        key = (sums[hi + (length - k)] - sums[lo]) * down[lo] + (hi - lo).astype(U) * U(0xC2B2AE3D27D4EB4F)
+        key = (key ^ (key >> U(32))) * U(0xD6E8FEB86659FD93)
+        key ^= key >> U(29)
+        parts.append(np.stack([np.where(single, key, m[lo]).view(np.int64), key.view(np.int64), lo + at, hi + at]))
     return np.concatenate(parts, axis=1) if parts else np.zeros((4, 0), np.int64)
 
 
-def _ids(column) -> np.ndarray:
-    return column.fill_null(int(LAST)).to_numpy(zero_copy_only=False)
-
-
-def _binary_rows(keys, values):
-    """The distinct keys, and the bytes of the values of each."""
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
-    cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, int)
-    return keys[cut], [np.ascontiguousarray(v).tobytes() for v in np.split(values, cut[1:])] if len(keys) else []
-
-
-ASK = "bucket long, text_id long, ids binary, hashes binary"
-SETTLED = 0  # no text id: those are odd
-
-
-def _ask(n_buckets, length):
-    """What a batch knows of minimizers: those in several of its texts are
-    candidates at once (rows with a text_id); each goes to its bucket once, so
-    a minimizer that very many texts share reaches its bucket once a batch."""
-
-    def run(batches):
-        for b in batches:
-            ids, texts = b.column("text_id").to_numpy(), b.column("text").to_pylist()
-            found = [np.unique(minimizers(t, length)[0]) if t and len(t) >= length else np.zeros(0, np.int64) for t in texts]
-            h = np.concatenate([*found, np.zeros(0, np.int64)])
-            d = np.repeat(ids, [len(x) for x in found]) if len(found) else np.zeros(0, np.int64)
-            if not len(h):
-                continue
-            order = np.argsort(h, kind="stable")
-            h, d = h[order], d[order]
-            first = np.concatenate(([True], h[1:] != h[:-1]))
-            heads = np.flatnonzero(first)
-            lo, hi = np.minimum.reduceat(d, heads), np.maximum.reduceat(d, heads)
-            several = np.repeat(lo < hi, np.diff(np.append(heads, len(h))))
-            docs, blobs = _binary_rows(d[several], h[several])
-            n = len(docs)
-            yield pa.RecordBatch.from_arrays([pa.array(docs % n_buckets, pa.int64()), pa.array(docs, pa.int64()), pa.nulls(n, pa.binary()), pa.array(blobs, pa.binary())], names=["bucket", "text_id", "ids", "hashes"])
-            hh, asked = h[heads], np.where(lo < hi, SETTLED, lo)  # settled here, told to others
-            bucket = hh % n_buckets
-            keys, blobs = _binary_rows(bucket, hh)
-            _, idblobs = _binary_rows(bucket, asked)
-            n = len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.nulls(n, pa.int64()), pa.array(idblobs, pa.binary()), pa.array(blobs, pa.binary())], names=["bucket", "text_id", "ids", "hashes"])
-
-    return run
-
-
-def _answer(batches):
-    """(text_id, hashes): per bucket, the minimizers that several texts have."""
-
-    def flush(hs, ds):
-        h, d = np.concatenate(hs), np.concatenate(ds)
-        order = np.argsort(h, kind="stable")
-        h, d = h[order], d[order]
-        heads = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        n = np.diff(np.append(heads, len(h)))
-        several = np.minimum.reduceat(d, heads) < np.maximum.reduceat(d, heads)
-        settled = np.logical_or.reduceat(d == SETTLED, heads)
-        keep = np.repeat(several | settled, n) & (d != SETTLED)
-        docs, blobs = _binary_rows(d[keep], h[keep])
-        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(blobs, pa.binary())], names=["text_id", "hashes"])
-
-    hs, ds, now = [], [], None
-    for b in batches:  # sorted by bucket
-        rows = b.to_pydict()
-        docs, blobs = [], []
-        for bucket, doc, ids, hashes in zip(rows["bucket"], rows["text_id"], rows["ids"], rows["hashes"]):
-            if doc is not None:
-                docs.append(doc)
-                blobs.append(hashes)
-                continue
-            if bucket != now and hs:
-                yield flush(hs, ds)
-                hs, ds = [], []
-            now = bucket
-            hs.append(np.frombuffer(hashes, np.int64))
-            ds.append(np.frombuffer(ids, np.int64))
-        if docs:
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(blobs, pa.binary())], names=["text_id", "hashes"])
-    if hs:
-        yield flush(hs, ds)
-
-
-def _stretches(length):
-    """The stretches of a candidate document: one row for each."""
-
-    def run(batches):
-        for b in batches:
-            ids, keys = _ids(b.column("doc_id")), b.column("k1").to_numpy()
-            mh, s, doc, key, at = [], [], [], [], []
-            for i, (text, blobs) in enumerate(zip(b.column("text").to_pylist(), b.column("hashes").to_pylist())):
-                wanted = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in blobs]))
-                h, _, lo, hi = minimizers(text, length)
-                if not len(h) or not len(wanted):
-                    continue
-                hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
-                lo, hi = lo[hit].tolist(), hi[hit].tolist()
-                s.extend(text[x : y + length - 1] for x, y in zip(lo, hi))
-                at.extend(lo)
-                mh.append(h[hit])
-                doc.append(np.full(len(lo), ids[i]))
-                key.append(np.full(len(lo), keys[i]))
-            cat = lambda x: pa.array(np.concatenate([*x, np.zeros(0, np.int64)]), pa.int64())
-            yield pa.RecordBatch.from_arrays([cat(mh), pa.array(s, pa.binary()), cat(doc), cat(key), pa.array(at, pa.int64())], names=["mh", "s", "doc", "k1", "at"])
-
-    return run
+def _held(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values the sorted array ``known`` has."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
 
 
 # ------------------------------------------------------------- run-length index
@@ -220,146 +151,371 @@ def sorted_suffixes(text: np.ndarray, length: int):
 
 
 class RunLengthIndex:
-    """Run-length Burrows-Wheeler index of stretches of bytes."""
+    """Run-length Burrows-Wheeler index of stretches of bytes, each of one
+    document. Kept: the runs, the text places of both ends of each, the blocks
+    of rows that share ``length`` bytes with the least document of each, and
+    the text that match lengths are read off."""
 
-    def __init__(self, stretches: list[bytes], length: int = LENGTH):
+    def __init__(self, held: list[bytes], docs: np.ndarray, length: int = LENGTH):
         sep = bytes([BARRIER])
-        text = np.frombuffer(sep.join(stretches) + sep, np.uint8)
+        self.text = text = np.frombuffer(sep.join(held) + sep, np.uint8)
         n = self.rows = len(text)
-        self.sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
-        self.ends = np.cumsum(self.sizes + 1) - 1  # place of each stretch's barrier
         sa, same = sorted_suffixes(text, length)
         last = text[sa - 1]  # the byte before each suffix
-        # a row after a barrier is a run of its own: nothing steps past the start of a stretch
+        # a row after a barrier is a run of its own: no match steps past the start of a stretch
         self.run_start = np.flatnonzero(np.concatenate(([True], (last[1:] != last[:-1]) | (last[1:] == BARRIER))))
-        self.run_byte = last[self.run_start]
+        self.run_byte = last[self.run_start].astype(np.int64)
         size = np.diff(np.append(self.run_start, n))
-        self.run_end_place = sa[self.run_start + size - 1]  # text place sampled at the end of each run
+        self.run_last = self.run_start + size - 1
+        self.head_place, self.tail_place = sa[self.run_start], sa[self.run_last]
         order = np.argsort(self.run_byte, kind="stable")
         self.run_first = np.empty(len(size), np.int64)  # row that the first row of a run steps to
         self.run_first[order] = np.cumsum(size[order]) - size[order]
-        self.run_of = np.repeat(np.arange(len(size)), size)
-        self.block_of = np.cumsum(~same) - 1  # rows of one block share ``length`` bytes
-
-    def step(self, rows: np.ndarray) -> np.ndarray:
-        """Last-to-first: the row of each suffix made longer by the byte before it."""
-        run = self.run_of[rows]
-        return self.run_first[run] + rows - self.run_start[run]
-
-    def smallest_documents(self, doc: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-        """For each window of each stretch the smallest document (``doc`` has
-        one for each stretch) that holds an equal window. Streams all stretches
-        at once through the index, from their barriers leftwards."""
-        m = len(self.sizes)
-        block = np.zeros(self.rows, np.int64)
-        rows, live = self.rows - m + np.arange(m), np.arange(m)  # barriers are the last rows, by place
-        least = np.full(int(self.block_of[-1]) + 1, LAST)
-        for t in range(1, int(self.sizes.max(initial=0)) + 1):
-            keep = self.sizes[live] >= t
-            rows, live = rows[keep], live[keep]
-            rows = self.step(rows)
-            if t >= length:
-                at = self.block_of[rows]
-                block[self.ends[live] - t] = at
-                np.minimum.at(least, at, doc[live])
-        return [least[block[e - s : e - length + 1]] for e, s in zip(self.ends.tolist(), self.sizes.tolist())]
-
-    def find(self, pattern: bytes) -> list[int]:
-        """Text places of a pattern: backward search, then steps to the next
-        sampled run end."""
-        lo, hi = 0, self.rows
-        for c in reversed(pattern):
-            runs = np.flatnonzero(self.run_byte == c)
-            ends = np.append(self.run_start[1:], self.rows)[runs]
-            inside = (ends > lo) & (self.run_start[runs] < hi)
-            if not inside.any():
-                return []
-            a, b = runs[inside][0], runs[inside][-1]
-            last = min(hi, int(np.append(self.run_start[1:], self.rows)[b])) - 1
-            lo, hi = int(self.step(np.array([max(lo, self.run_start[a])]))[0]), int(self.step(np.array([last]))[0]) + 1
-        out = []
-        run_end = np.append(self.run_start[1:], self.rows) - 1
-        for row in range(lo, hi):
-            steps = 0
-            while run_end[k := int(np.searchsorted(run_end, row))] != row:
-                row = int(self.step(np.array([row]))[0])
-                steps += 1
-            out.append(int(self.run_end_place[k]) + steps)
-        return sorted(out)
-
-
-def _resolve(length):
-    """(mh, sk, starts, least): for each distinct stretch the windows at which the
-    smallest document changes; none for stretches that nothing can remove."""
-
-    def flush(mh, s, lo, hi):
-        group = np.flatnonzero(np.concatenate(([True], mh[1:] != mh[:-1])))
-        size = np.diff(np.append(group, len(mh)))
-        live = np.repeat(np.minimum.reduceat(lo, group) < np.maximum.reduceat(hi, group), size)
-        pick = np.flatnonzero(live)
-        out: list = [[], [], []]
-        if len(pick):
-            held = [s[i] for i in pick]
-            found = RunLengthIndex(held, length).smallest_documents(lo[pick], length)
-            for i, f in zip(pick.tolist(), found):
-                if hi[i] > f.min():
-                    cut = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
-                    out[0].append(i)
-                    out[1].append(np.append(cut, len(f)))
-                    out[2].append(f[cut])
-        return out
+        self.by_byte = self.run_byte[order] * len(size) + order  # runs by byte, for the nearest one of a byte
+        self.block_start = np.flatnonzero(~same)
+        owner = np.cumsum(text == BARRIER) - (text == BARRIER)
+        self.block_least = np.minimum.reduceat(np.asarray(docs, np.int64)[owner[sa]], self.block_start)
+
+    def _common(self, place: np.ndarray, query: np.ndarray, at: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Bytes (up to ``most``) that the text at each place shares with the query at ``at``."""
+        got, live, step = np.zeros(len(place), np.int64), np.flatnonzero(most > 0), 16
+        done = 0
+        while len(live):
+            j = done + np.arange(step)
+            p, q = place[live, None] + j, at[live, None] + j
+            differ = (self.text[np.minimum(p, self.rows - 1)] != query[np.minimum(q, len(query) - 1)]) | (j >= most[live, None])
+            first = differ.argmax(axis=1)
+            whole = ~differ[np.arange(len(live)), first]
+            got[live] = done + np.where(whole, step, first)
+            live, done = live[whole], done + step
+        return got
+
+    def _jump(self, run, c, size, query, at):
+        """Where a match goes on that the byte ``c`` before it does not extend:
+        the nearer end of the nearest runs of ``c`` above and below, whichever
+        matches longer. Gives run, row and length before the step; -1 for no run."""
+        n = len(self.run_start)
+        below = np.searchsorted(self.by_byte, c * n + run)
+        down, above = np.minimum(below, n - 1), np.maximum(below - 1, 0)
+        has_down = (below < n) & (self.by_byte[down] // n == c)
+        has_above = (below > 0) & (self.by_byte[above] // n == c)
+        down, above = self.by_byte[down] % n, self.by_byte[above] % n
+        m_down = np.where(has_down, self._common(self.head_place[down], query, at, np.where(has_down, size, 0)), -1)
+        m_above = np.where(has_above, self._common(self.tail_place[above], query, at, np.where(has_above, size, 0)), -1)
+        lower = m_down >= m_above
+        got = np.where(lower, down, above)
+        row = np.where(lower, self.run_start[down], self.run_last[above])
+        return np.where(has_down | has_above, got, -1), row, np.maximum(m_down, m_above)
+
+    def matching_statistics(self, query: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place of barrier-ended queries the length of the longest
+        match that starts there, and a row of the index that has it. All queries
+        stream at once, from their ends leftwards."""
+        ends = np.cumsum(sizes + 1) - 1
+        order = np.argsort(-sizes, kind="stable")
+        ends, down = ends[order], -sizes[order]
+        length, rows = np.zeros(len(query), np.int64), np.zeros(len(query), np.int64)
+        row, got = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        for t in range(1, int(sizes.max(initial=0)) + 1):
+            m = int(np.searchsorted(down, -t, side="right"))  # queries of t bytes or more
+            row, got, place = row[:m], got[:m], ends[:m] - t
+            c = query[place].astype(np.int64)
+            run = np.searchsorted(self.run_start, row, side="right") - 1
+            miss = np.flatnonzero(self.run_byte[run] != c)
+            if len(miss):
+                run[miss], row[miss], got[miss] = self._jump(run[miss], c[miss], got[miss], query, place[miss] + 1)
+            row, got = np.where(run >= 0, self.run_first[run] + row - self.run_start[run], 0), np.where(run >= 0, got + 1, 0)
+            length[place], rows[place] = got, row
+        return length, rows
+
+    def least_documents(self, rows: np.ndarray) -> np.ndarray:
+        """The smallest document that holds the ``length`` bytes at each row."""
+        return self.block_least[np.searchsorted(self.block_start, rows, side="right") - 1]
+
+
+def repeated(group: np.ndarray, held: list[bytes], docs: np.ndarray, length: int = LENGTH):
+    """(stretch, first byte, end) of the runs of bytes under windows that a
+    stretch of the same group and of a smaller document holds as well. Groups
+    come together; one stretch has one document."""
+    heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    size = np.diff(np.append(heads, len(group)))
+    low, high = (np.repeat(f.reduceat(docs, heads), size) for f in (np.minimum, np.maximum))
+    known, asked = np.flatnonzero(docs < high), np.flatnonzero(docs > low)
+    if not len(asked):
+        return np.zeros((3, 0), np.int64)
+    index = RunLengthIndex([held[i] for i in known], docs[known], length)
+    sep = bytes([BARRIER])
+    query = np.frombuffer(sep.join([held[i] for i in asked]) + sep, np.uint8)
+    sizes = np.fromiter((len(held[i]) for i in asked), np.int64, len(asked))
+    ends = np.cumsum(sizes + 1)
+    match, rows = index.matching_statistics(query, sizes)
+    at = np.flatnonzero(match >= length)
+    owner = np.searchsorted(ends, at, side="right")
+    goes = index.least_documents(rows[at]) < docs[asked][owner]
+    at, owner = at[goes], owner[goes]
+    if not len(at):
+        return np.zeros((3, 0), np.int64)
+    first = np.concatenate(([True], (np.diff(at) > 1) | (np.diff(owner) > 0)))
+    a, b, o = at[first], at[np.append(np.flatnonzero(first)[1:] - 1, len(at) - 1)], owner[first]
+    base = ends[o] - sizes[o] - 1
+    return np.stack([asked[o], a - base, b - base + length])
+
+
+# ---------------------------------------------------------------------- stages
+def _ids(column) -> np.ndarray:
+    return column.fill_null(int(LAST)).to_numpy(zero_copy_only=False)
+
+
+def _slices(batch, column: str = "text"):
+    """The batch in parts of about SLICE_BYTES of the column."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _rows(keys: np.ndarray, *values: np.ndarray):
+    """The distinct keys in order, and for each array the bytes of each key's values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, int)
+    ends = np.append(cut[1:], len(keys)).tolist()
+    out = []
+    for v in values:
+        blob = np.ascontiguousarray(v[order]).tobytes()
+        w = v.dtype.itemsize
+        out.append([blob[w * a : w * b] for a, b in zip(cut.tolist(), ends)])
+    return keys[cut], out
+
+
+def _bucket(mh: np.ndarray, n: int) -> np.ndarray:
+    return (mh.view(U) % U(n)).astype(np.int64)
+
+
+def _batch(schema: str, *columns):
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    fields = [x.split() for x in schema.split(", ")]
+    n = next(len(c) for c in columns if c is not None)
+    arrays = [pa.nulls(n, kinds[k]) if c is None else pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)]
+    return pa.RecordBatch.from_arrays(arrays, names=[f for f, _ in fields])
+
+
+def _sampled(length):
+    """(minimizer, texts that have it) of each batch."""
+
+    def run(batches):
+        for b in batches:
+            for part in _slices(b):
+                found = [np.unique(stretches(t, length)[0]) for t in part.column("text").to_pylist() if t]
+                mh, n = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]), return_counts=True)
+                yield _batch("mh long, n long", mh, n)
+
+    return run
+
+
+OFFER = "bucket long, doc long, mh binary, sk binary, docs binary"
+TOLD = "doc long, gone binary, want binary"
+
+
+def _offer(n_buckets, length, common):
+    """What a slice of texts knows of stretches: to the stretch's bucket goes
+    its least document here, once; documents after it learn that it goes."""
 
     def run(batches):
-        parts, size = [], 0
-        for b in batches:  # by minimizer
-            parts.append(b)
-            size += b.column("s").nbytes
-            if size < UNIT_BYTES:
+        known = np.frombuffer(common, U)
+        for b in batches:
+            for part in _slices(b):
+                least: dict[int, tuple[int, bytes]] = {}  # of equal texts the one of smallest id
+                for d, k1, t in zip(_ids(part.column("doc_id")).tolist(), part.column("k1").to_pylist(), part.column("text").to_pylist()):
+                    if t and len(t) >= length and (k1 not in least or d < least[k1][0]):
+                        least[k1] = d, t
+                found = [(d, stretches(t, length, known)) for d, t in least.values()]
+                if not found:
+                    continue
+                mh, sk = (np.concatenate([s[i] for _, s in found]) for i in (0, 1))
+                doc = np.repeat(np.array([d for d, _ in found], np.int64), [s.shape[1] for _, s in found])
+                order = np.lexsort((doc, sk))
+                mh, sk, doc = mh[order], sk[order], doc[order]
+                first = np.concatenate(([True], sk[1:] != sk[:-1]))
+                low = np.repeat(doc[first], np.diff(np.append(np.flatnonzero(first), len(sk))))
+                later = (doc > low) & np.concatenate(([True], (sk[1:] != sk[:-1]) | (doc[1:] != doc[:-1])))
+                if later.any():
+                    docs, (gone,) = _rows(doc[later], sk[later])
+                    yield _batch(OFFER, (docs.view(U) % U(n_buckets)).astype(np.int64), docs, None, gone, None)
+                keys, (mhs, sks, ids) = _rows(_bucket(mh[first], n_buckets), mh[first], sk[first], doc[first])
+                yield _batch(OFFER, keys, None, mhs, sks, ids)
+
+    return run
+
+
+def _compare(batches):
+    """Per bucket: which documents lose a whole stretch to a smaller one, and
+    which are to send stretches because others share the minimizer."""
+
+    def settle(parts):
+        mh, sk, doc = (np.concatenate([np.frombuffer(p[i], np.int64) for p in parts]) for i in range(3))
+        order = np.argsort(mh, kind="stable")
+        m = mh[order]
+        edge = np.concatenate(([True], m[1:] != m[:-1], [True]))
+        order = order[~(edge[1:] & edge[:-1])]  # minimizers offered once need nothing
+        mh, sk, doc = mh[order], sk[order], doc[order]
+        if not len(mh):
+            return None
+        order = np.lexsort((doc, sk, mh))
+        mh, sk, doc = mh[order], sk[order], doc[order]
+        first = np.concatenate(([True], (mh[1:] != mh[:-1]) | (sk[1:] != sk[:-1])))
+        low = np.repeat(doc[first], np.diff(np.append(np.flatnonzero(first), len(sk))))
+        gone = doc > low
+        gdoc, (gsk,) = _rows(doc[gone], sk[gone])
+        mh, sk, doc = mh[first], sk[first], doc[first]
+        heads = np.flatnonzero(np.concatenate(([True], mh[1:] != mh[:-1])))
+        several = np.repeat(np.minimum.reduceat(doc, heads) < np.maximum.reduceat(doc, heads), np.diff(np.append(heads, len(mh))))
+        wdoc, (wsk,) = _rows(doc[several], sk[several])
+        return _batch(TOLD, np.concatenate([gdoc, wdoc]), gsk + [None] * len(wdoc), [None] * len(gdoc) + wsk)
+
+    parts, now = [], None
+    for b in batches:  # sorted by bucket
+        whole = b.filter(pc.is_valid(b.column("doc")))
+        if whole.num_rows:
+            yield _batch(TOLD, whole.column("doc"), whole.column("sk"), None)
+        for bucket, doc, mh, sk, ids in zip(*(b.column(i).to_pylist() for i in range(5))):
+            if doc is not None:
                 continue
-            t = pa.Table.from_batches(parts).combine_chunks()
-            mh = t["mh"].to_numpy()
-            cut = int(np.searchsorted(mh, mh[-1]))  # the last minimizer may go on
-            if cut:
-                yield from emit(t.slice(0, cut))
-                t = t.slice(cut)
-                parts, size = t.to_batches(), int(t["n"].to_numpy().sum())
+            if bucket != now and parts:
+                if (out := settle(parts)) is not None:
+                    yield out
+                parts = []
+            now = bucket
+            parts.append((mh, sk, ids))
+    if parts and (out := settle(parts)) is not None:
+        yield out
+
+
+SENT = "bucket long, doc long, k1 long, spans binary, mh binary, sk binary, docs binary, keys binary, at binary, n binary, s binary"
+
+
+def _send(n_buckets, length, common):
+    """The spans of a text that are known to go, and the bytes of the stretches it was asked for."""
+
+    def run(batches):
+        known = np.frombuffer(common, U)
+        for b in batches:
+            for part in _slices(b):
+                spans, asked, blobs, size = [], [], [], 0
+                for doc, k1, text, gone, want in zip(_ids(part.column("doc_id")).tolist(), *(part.column(c).to_pylist() for c in ("k1", "text", "gone", "want"))):
+                    gone, want = (np.sort(np.concatenate([np.frombuffer(x, np.int64) for x in xs] + [np.zeros(0, np.int64)])) for xs in (gone, want))
+                    mh, sk, lo, hi = stretches(text, length, known)
+                    out = _held(sk, gone)
+                    if out.any():
+                        spans.append((doc, k1, _spans(lo[out], hi[out] + length - 1).tobytes()))
+                    ask = np.flatnonzero(_held(sk, want) & ~out)
+                    if not len(ask):
+                        continue
+                    _, once = np.unique(sk[ask], return_index=True)
+                    n = np.zeros(len(ask), np.int64)  # a stretch that repeats here sends its bytes once
+                    n[once] = (hi - lo)[ask[once]] + length - 1
+                    asked.append(np.stack([mh[ask], sk[ask], np.full(len(ask), doc), np.full(len(ask), k1), lo[ask], n]))
+                    blobs.extend(text[x : x + y] for x, y in zip(lo[ask].tolist(), n.tolist()))
+                    size += int(n.sum())
+                    if size >= SLICE_BYTES // 4:
+                        yield sent(asked, blobs)
+                        asked, blobs, size = [], [], 0
+                if spans:
+                    d, k, s = map(list, zip(*spans))
+                    yield _batch(SENT, (np.array(k, np.int64).view(U) % U(n_buckets)).astype(np.int64), d, k, s, *[None] * 7)
+                if asked:
+                    yield sent(asked, blobs)
+
+    def sent(asked, blobs):
+        cols = np.concatenate(asked, axis=1)
+        keys, found = _rows(_bucket(cols[0], n_buckets), *cols, np.arange(cols.shape[1]))
+        s = [b"".join([blobs[i] for i in np.frombuffer(x, np.int64).tolist()]) for x in found.pop()]
+        return _batch(SENT, keys, None, None, None, *found, s)
+
+    return run
+
+
+def _spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Merged (start, end) pairs, flat; touching spans become one."""
+    order = np.argsort(lo, kind="stable")
+    lo, hi = lo[order], np.maximum.accumulate(hi[order]) if len(hi) else hi
+    first = np.concatenate(([True], lo[1:] > hi[:-1])) if len(lo) else np.zeros(0, bool)
+    last = np.append(np.flatnonzero(first)[1:] - 1, len(lo) - 1) if len(lo) else np.zeros(0, int)
+    return np.stack([lo[first], hi[last]], axis=1).astype(np.int64).ravel()
+
+
+FOUND = "doc long, k1 long, spans binary"
+
+
+def _match(length):
+    """Per bucket: the spans that the run-length indexes find."""
+
+    def settle(parts):
+        mh, sk, doc, k1, at, n = (np.concatenate([np.frombuffer(p[i], np.int64) for p in parts]) for i in range(6))
+        blob = b"".join(p[6] for p in parts)
+        start = np.cumsum(n) - n
+        order = np.lexsort((-n, doc, sk, mh))
+        first = np.concatenate(([True], sk[order][1:] != sk[order][:-1]))
+        pick = order[first]  # one entry of each stretch, with its bytes and its document
+        held = [blob[a : a + b] for a, b in zip(start[pick].tolist(), n[pick].tolist())]
+        reach = np.cumsum(n[pick])
+        heads = np.flatnonzero(np.concatenate(([True], mh[pick][1:] != mh[pick][:-1])))
+        found, here = [], 0
+        while here < len(pick):  # units of whole minimizers
+            end = int(np.searchsorted(reach, (reach[here - 1] if here else 0) + UNIT_BYTES, side="right"))
+            nth = np.searchsorted(heads, max(end, here + 1))
+            end = int(heads[nth]) if nth < len(heads) else len(pick)
+            got = repeated(mh[pick[here:end]], held[here:end], doc[pick[here:end]], length)
+            got[0] += here
+            found.append(got)
+            here = end
+        which, a, b = np.concatenate(found, axis=1)
+        # every place of the stretch's document that has it
+        stretch = np.empty(len(order), np.int64)
+        stretch[order] = np.cumsum(first) - 1
+        by = np.argsort(stretch, kind="stable")
+        starts = np.searchsorted(stretch[by], which)
+        times = np.searchsorted(stretch[by], which, side="right") - starts
+        entry = by[np.repeat(starts, times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)]
+        lo, hi = at[entry] + np.repeat(a, times), at[entry] + np.repeat(b, times)
+        order = np.lexsort((lo, k1[entry], doc[entry]))
+        entry, lo, hi = entry[order], lo[order], hi[order]
+        d, k = doc[entry], k1[entry]
+        cut = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])))) if len(d) else np.zeros(0, int)
+        spans = [_spans(lo[x:y], hi[x:y]).tobytes() for x, y in zip(cut.tolist(), np.append(cut[1:], len(d)).tolist())]
+        return _batch(FOUND, d[cut], k[cut], spans)
+
+    def run(batches):
+        parts, now = [], None
+        for b in batches:  # sorted by bucket
+            known = b.filter(pc.is_valid(b.column("doc")))
+            if known.num_rows:
+                yield known.select(["doc", "k1", "spans"])
+            for bucket, doc, _, _, *rest in zip(*(b.column(i).to_pylist() for i in range(11))):
+                if doc is not None:
+                    continue
+                if bucket != now and parts:
+                    yield settle(parts)
+                    parts = []
+                now = bucket
+                parts.append(rest)
         if parts:
-            yield from emit(pa.Table.from_batches(parts))
-
-    def emit(t):
-        mh = t["mh"].to_numpy()
-        heads = np.flatnonzero(np.concatenate(([True], mh[1:] != mh[:-1]))) if len(mh) else np.zeros(0, int)
-        reach = np.cumsum(t["n"].to_numpy())
-        at = 0
-        while at < len(mh):  # units of whole minimizers
-            base = reach[at - 1] if at else 0
-            end = int(np.searchsorted(reach, base + UNIT_BYTES, side="right"))
-            nxt = heads[np.searchsorted(heads, max(end, at + 1))] if heads[-1] >= max(end, at + 1) else len(mh)
-            u = t.slice(at, int(nxt) - at)
-            i, starts, least = flush(u["mh"].to_numpy(), u["s"].to_pylist(), u["lo"].to_numpy(), u["hi"].to_numpy())
-            sk = u["sk"].to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(u["mh"].to_numpy()[i], pa.int64()), pa.array(sk[i], pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int64()))], names=["mh", "sk", "starts", "least"])
-            at = int(nxt)
+            yield settle(parts)
 
     return run
 
 
-# -------------------------------------------------------------------- operator
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+CUT = "doc_id long, k1 long, gone long, spans long, kept string"
 
 
 def _cut(batches):
     for b in batches:
         rows: list = [[], [], []]
-        for text, lo, hi in zip(*(b.column(c).to_pylist() for c in ("text", "lo", "hi"))):
-            spans = merged(list(zip(lo, hi)))
+        for text, found in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
+            flat = np.concatenate([np.frombuffer(x, np.int64) for x in found]).reshape(-1, 2)
+            spans = _spans(flat[:, 0], flat[:, 1]).reshape(-1, 2).tolist()
             kept, at = hashlib.sha256(), 0
             for x, y in spans:
                 kept.update(text[at:x])
@@ -368,46 +524,60 @@ def _cut(batches):
             rows[0].append(sum(y - x for x, y in spans))
             rows[1].append(len(spans))
             rows[2].append(kept.hexdigest())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k1"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string())], names=["doc_id", "k1", "gone", "spans", "kept"])
+        yield _batch(CUT, b.column("doc_id"), b.column("k1"), *rows)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 32 << 20) -> DataFrame:
+# -------------------------------------------------------------------- operator
+def common_minimizers(keyed: DataFrame, total: int, length: int, common: int = COMMON) -> bytes:
+    """The minimizers expected in more than ``common`` stretches, or in more
+    than a millionth of all, from a sample of texts: a million at the most or
+    thereabouts, as sorted bytes. They only steer how the work is dealt out."""
+    most = max(common, int(total) // (18 * 1_000_000))
+    if total < 18 * most:
+        return b""
+    share = min(1.0, SAMPLE_HITS / most)
+    sample = keyed.where(F.pmod(F.xxhash64("k1", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    got = sample.select("text").mapInArrow(_sampled(length), "mh long, n long").groupBy("mh").agg(F.sum("n").alias("n")).where(F.col("n") >= most * share).select("mh").toArrow()
+    return np.sort(got["mh"].to_numpy().view(U)).tobytes()
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 32 << 20, common: int = COMMON) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per input row.
 
     Removes each byte covered by a ``length``-byte string that also starts in
     a document of smaller id. Rows of one id count as one document and do not
     remove from each other; null ids count as one document after all others;
-    ids are compared as long integers. Null texts are empty. Texts under
-    ``length`` bytes lose nothing. Other columns are ignored; an empty table
-    gives an empty result. ``length`` is at least 32."""
+    ids must be numbers and are compared as long integers. Texts are UTF-8.
+    Null texts are empty. Texts under
+    ``length`` bytes lose nothing; texts of any length and of one repeated
+    letter are cut into stretches of bounded size. Other columns are ignored; an empty table
+    gives an empty result. ``length`` is at least 32. ``bucket_bytes`` of text
+    are compared together; ``common`` bounds how many stretches of one minimizer are
+    (a million minimizers may exceed it, each by at most a millionth of all)."""
     if length < 2 * GRAM:
         raise ValueError("length is too small for the minimizer's gram")
     text = F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit("").cast("binary"))
     src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))).alias("doc_id"), text.alias("text"))
     keyed = src.withColumn("k1", F.xxhash64("text"))
-    slim = staged(keyed.select("doc_id", "k1", F.length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "bytes")
-    total = slim.agg(F.sum("n_bytes")).first()[0] or 0
+    raw = staged(keyed.select("doc_id", "k1", F.length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "bytes")
+    total = raw.agg(F.sum("n_bytes")).first()[0] or 0
     # equal texts: all but those of the smallest id are covered throughout
-    first = slim.groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    slim = staged(slim.join(first.select("sha", "first_id"), "sha", "left").withColumn("is_copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))).drop("first_id"), "bytes")
+    first = raw.groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    slim = staged(raw.join(first.select("sha", "first_id"), "sha", "left").withColumn("is_copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))).drop("first_id"), "bytes")
+    released(raw)
 
     buckets = max(16, -(-int(total) // bucket_bytes))
-    text_id = F.col("k1").bitwiseOR(F.lit(1).cast("long"))
-    asked = keyed.select(text_id.alias("text_id"), "text").mapInArrow(_ask(buckets, length), ASK).repartition("bucket").sortWithinPartitions("bucket")
-    told = asked.mapInArrow(_answer, "text_id long, hashes binary").groupBy("text_id").agg(F.collect_list("hashes").alias("hashes"))
-    wanted = slim.where(f"not is_copy and n_bytes >= {length}").select("doc_id", "k1").distinct().withColumn("text_id", text_id).join(told, "text_id").drop("text_id")
-    found = staged(keyed.join(wanted, ["doc_id", "k1"]).select("doc_id", "k1", "text", "hashes").mapInArrow(_stretches(length), "mh long, s binary, doc long, k1 long, at long"), "bytes")
-
-    distinct = found.groupBy("mh", "s").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).withColumns({"n": F.length("s").cast("long"), "sk": F.xxhash64("s")})
-    least = distinct.repartition("mh").sortWithinPartitions("mh").mapInArrow(_resolve(length), "mh long, sk long, starts array<long>, least array<long>")
-    least = staged(least, "bytes")
-    hit = found.select("mh", F.xxhash64("s").alias("sk"), "doc", "k1", "at").join(least, ["mh", "sk"])
-    runs = F.transform("least", lambda x, i: F.struct(x.alias("d"), (F.get("starts", i) + F.col("at")).alias("lo"), (F.get("starts", i + 1) + F.col("at") + length - 1).alias("hi")))
-    spans = hit.select("doc", "k1", F.filter(runs, lambda x: x["d"] < F.col("doc")).alias("x")).where(F.size("x") > 0)
-    spans = spans.groupBy(F.col("doc").alias("doc_id"), "k1").agg(F.flatten(F.collect_list("x")).alias("x")).select("doc_id", "k1", F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"))
-    spans = staged(spans, "bytes")
-    cut = keyed.join(spans, ["doc_id", "k1"]).select("doc_id", "k1", "text", "lo", "hi").mapInArrow(_cut, "doc_id long, k1 long, gone long, spans long, kept string").dropDuplicates(["doc_id", "k1"])
-
+    hot = common_minimizers(keyed, total, length, common)
+    offers = keyed.where(F.length("text") >= length).mapInArrow(_offer(buckets, length, hot), OFFER).repartition("bucket").sortWithinPartitions("bucket")
+    told = staged(offers.mapInArrow(_compare, TOLD), "bytes")
+    told_each = told.groupBy("doc").agg(F.collect_list("gone").alias("gone"), F.collect_list("want").alias("want"))
+    asked = slim.where(f"not is_copy and n_bytes >= {length}").select("doc_id", "k1").distinct().join(told_each.withColumnRenamed("doc", "doc_id"), "doc_id")
+    sent = keyed.join(asked, ["doc_id", "k1"]).select("doc_id", "k1", "text", "gone", "want").mapInArrow(_send(buckets, length, hot), SENT)
+    found = staged(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_match(length), FOUND), "bytes")
+    released(told)
+
+    spans = found.groupBy(F.col("doc").alias("doc_id"), "k1").agg(F.collect_list("spans").alias("spans"))
+    cut = keyed.join(spans, ["doc_id", "k1"]).select("doc_id", "k1", "text", "spans").mapInArrow(_cut, CUT).dropDuplicates(["doc_id", "k1"])
     all_gone = F.col("is_copy") & (F.col("n_bytes") >= length)
     pick = lambda copy, other, none: F.when(all_gone, copy).otherwise(F.coalesce(F.col(other), none))
     return slim.join(cut, ["doc_id", "k1"], "left").select(

@@ -149,43 +149,98 @@ def slow_remove(rows, length=50):
     return sorted(out, key=repr)
 
 
+def shared_prefix(a, b):
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
 @pytest.mark.parametrize("seed", range(15))
 def test_index_by_brute_force(seed):
     random.seed(seed)
     letters = b"ab" if seed % 2 else b"abcdefgh"
     base = bytes(random.choice(letters) for _ in range(200))
     held = []
-    for _ in range(25):
+    for _ in range(40):
         a = random.randint(0, 140)
         x = bytearray(base[a : a + random.randint(50, 84)])
         if random.random() < 0.4:
             x[random.randrange(len(x))] = random.choice(letters)
         held.append(bytes(x))
     held = [x for x in dict.fromkeys(held) if len(x) >= 50]
-    doc = np.array([random.randint(0, 9) for _ in held])
-    index = rindex.RunLengthIndex(held)
-    least = {}
-    for s, d in zip(held, doc):
-        for w in range(len(s) - 49):
-            least[s[w : w + 50]] = min(least.get(s[w : w + 50], 99), d)
-    for s, got in zip(held, index.smallest_documents(doc)):
-        assert [least[s[w : w + 50]] for w in range(len(s) - 49)] == got.tolist()
-    text = b"\xff".join(held) + b"\xff"
-    for p in (held[0][5:25], held[-1][:3], b"zz"):
-        assert index.find(p) == [i for i in range(len(text)) if text.startswith(p, i)]
-    assert len(index.run_byte) <= index.rows
-
-
-def test_minimizers_agree_on_equal_windows():
+    known, asked = held[:12], held[12:]
+    docs = np.array([random.randint(0, 9) for _ in known])
+    index = rindex.RunLengthIndex(known, docs)
+    query = np.frombuffer(b"\xff".join(asked) + b"\xff", np.uint8)
+    length, rows = index.matching_statistics(query, np.array([len(x) for x in asked]))
+    at, long = 0, 0
+    for x in asked:
+        for i in range(len(x)):
+            best = max(shared_prefix(x[i:], k[j:]) for k in known for j in range(len(k)))
+            assert best == length[at + i]
+            if best >= 50:
+                long += 1
+                assert index.least_documents(rows[at + i : at + i + 1])[0] == min(d for k, d in zip(known, docs) if x[i : i + 50] in k)
+        at += len(x) + 1
+    assert long > 5 and (index.run_start[1:] > index.run_start[:-1]).all() and len(index.run_start) <= index.rows
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_repeated_windows_of_groups(seed):
+    random.seed(seed)
+    base = [bytes(random.choice(b"abcd") for _ in range(90)) for _ in range(3)]
+    held, group, docs = [], [], []
+    for g, x in enumerate(base):
+        for _ in range(random.randint(1, 6)):
+            a, y = random.randint(0, 20), bytearray(x)
+            y[random.randrange(90)] = 101
+            held.append(bytes(y[a : a + 60]))
+            group.append(g)
+            docs.append(random.randint(0, 4))
+    want = []
+    for i, x in enumerate(held):
+        hit = np.zeros(len(x) + 1, np.int8)
+        for w in range(len(x) - 49):
+            if any(group[j] == group[i] and docs[j] < docs[i] and x[w : w + 50] in held[j] for j in range(len(held))):
+                hit[w : w + 50] = 1
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], hit))))
+        want += [(i, int(a), int(b)) for a, b in edge.reshape(-1, 2)]
+    got = {i: [] for i in range(len(held))}
+    for i, a, b in rindex.repeated(np.array(group), held, np.array(docs)).T.tolist():
+        if got[i] and a <= got[i][-1][1]:
+            got[i][-1] = (got[i][-1][0], b)
+        else:
+            got[i].append((a, b))
+    assert [(i, a, b) for i, v in got.items() for a, b in v] == want
+
+
+@pytest.mark.parametrize("common", [None, "some", "all"])
+def test_equal_windows_share_a_route(common):
     random.seed(0)
-    t = bytes(random.choice(b"ab ") for _ in range(3000))
-    h, place, lo, hi = rindex.minimizers(t)
-    assert lo[0] == 0 and hi[-1] == len(t) - 49 and (lo[1:] == hi[:-1]).all()
-    small = rindex.minimizers(t, chunk=100)
-    at = lambda r, w: (r[0][(r[2] <= w) & (w < r[3])][0], r[1][(r[2] <= w) & (w < r[3])][0])
-    assert all(at((h, place, lo, hi), w) == at(small, w) for w in range(0, len(t) - 49, 7))
-    a, b = rindex.minimizers(b"x" * 40 + t[:80])[0:2], rindex.minimizers(b"yy" * 9 + t[:80])[0:2]
-    assert set(a[0][-3:]) & set(b[0])
+    t = bytes(random.choice(b"ab ") for _ in range(3000)) + b"z" * 2000
+    known = None if common is None else np.unique(rindex.stretches(t)[0].view(np.uint64))
+    known = known[::7] if common == "some" else known
+    mh, sk, lo, hi = rindex.stretches(t, common=known)
+    assert lo[0] == 0 and hi[-1] == len(t) - 49 and (lo[1:] == hi[:-1]).all() and (hi - lo).max() <= rindex.PIECE
+    route = {}
+    for m, a, b in zip(mh, lo, hi):
+        for w in range(a, b):
+            assert route.setdefault(t[w : w + 50], m) == m
+    whole = {}
+    for k, a, b in zip(sk, lo, hi):
+        assert whole.setdefault(k, t[a : b + 49]) == t[a : b + 49]
+    assert len(set(sk)) == len(set(whole.values()))
+    other = rindex.stretches(b"x" * 40 + t[:80], common=known)
+    assert all(m == route[(b"x" * 40 + t[:80])[w : w + 50]] for m, a, b in zip(other[0], other[2], other[3]) for w in range(a, b) if w >= 40)
+
+
+def test_a_long_text_of_one_letter(docs):
+    mh, sk, lo, hi = rindex.stretches(b"z" * 10_000_000)
+    assert len(np.unique(sk)) <= 5 and hi[-1] == 10_000_000 - 49
+    rows = [(1, "y" * 30 + "z" * 3000), (2, "z" * 2_000_000), (3, "z" * 70 + "q")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in rindex.remove_repeats(docs(rows)).collect()}
+    assert got == {1: (3030, 0, 0), 2: (2_000_000, 2_000_000, 1), 3: (71, 70, 1)}
 
 
 def test_remove_repeats_by_brute_force(docs):
@@ -199,12 +254,14 @@ def test_remove_repeats_by_brute_force(docs):
             parts.insert(random.randint(0, 1), random.choice(shared))
         rows.append((i * 3 % 120, " ".join(parts)))
     rows += [(500, rows[1][1]), (501, rows[1][1]), (501, rows[2][1]), (None, rows[4][1]), (None, rows[4][1]), (502, None), (503, ""), (504, "z" * 49), (505, "z" * 400), (506, "z" * 99)]
-    got = sorted(map(tuple, rindex.remove_repeats(docs(rows)).collect()), key=repr)
-    assert got == slow_remove(rows)
+    for more in ({}, {"common": 3}):  # with almost all minimizers counted as common as well
+        got = sorted(map(tuple, rindex.remove_repeats(docs(rows), **more).collect()), key=repr)
+        assert got == slow_remove(rows)
 
 
-def test_remove_repeats_on_the_data(spark):
-    d = spark.read.parquet(f"{SF}/documents.parquet")
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_remove_repeats_on_the_data(spark, sf):
+    d = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
     got = sorted(map(tuple, rindex.remove_repeats(d).collect()), key=repr)
     assert got == slow_remove([(r.doc_id, r.text) for r in d.collect()])
 
