@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import shutil
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +84,16 @@ def _clear() -> None:
             return
 
 
+def shipped(spark: SparkSession, value):
+    """A broadcast of ``value`` that workers without this package can open:
+    its class travels in the bytes, as functions do."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(held):
+    return pickle.loads(held.value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,13 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, opened, shipped
 from .training import held_out
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 MAX_TRAIN = 4000  # documents the network is trained on
+MAX_LANGS = 1000
 WINDOWS_EACH = 3  # windows of each, at positions drawn by the id
 UNKNOWN = "und"
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -157,9 +158,13 @@ def fit(wins: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 4, batc
 def train(docs: DataFrame, mod: int = 4, remainder: int = 2, max_train: int = MAX_TRAIN) -> Network:
     """Learns from text and lang of at most ``max_train`` documents outside the
     held-out fold, those of least hash of their id within each language in
-    turn (so that rare languages are seen), WINDOWS_EACH windows of each."""
+    turn (so that rare languages are seen), WINDOWS_EACH windows of each. Rows
+    without a text, a language or an id outside the fold teach nothing. More than
+    MAX_LANGS languages are an error, as the network has an output for each."""
     src = docs.select("doc_id", "lang", F.col("text").cast("binary").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id"), mod, remainder))
-    langs = sorted(r["lang"] for r in src.select("lang").distinct().collect())  # languages: bounded by what a catalogue knows
+    langs = sorted(r["lang"] for r in src.select("lang").distinct().limit(MAX_LANGS + 1).collect())
+    if len(langs) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     if not langs:
         return Network([], [], np.zeros(0), np.zeros((0, 0)), np.zeros(0))
     each = max(1, max_train // len(langs))
@@ -191,11 +196,13 @@ def identify(docs: DataFrame, network: Network, mod: int = 4, remainder: int = 2
     """doc_id, held_out, lang_pred, score: one row per input row.
 
     Null texts and those without a letter get ``und`` and score 0. If nothing
-    could be learned all rows do. Columns besides doc_id and text are ignored."""
-    held = docs.sparkSession.sparkContext.broadcast(network)
+    could be learned all rows do. All windows of a text count, however long it
+    is; equal rows are answered equally; an empty table gives an empty result.
+    Columns besides doc_id and text are ignored."""
+    held = shipped(docs.sparkSession, network)
 
     def run(batches):
-        net = held.value
+        net = opened(held)
         net.compile()
         for b in batches:
             lang, score = net.predict(b.column("text").to_pylist())

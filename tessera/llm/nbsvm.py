@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import opened, shipped
 from .training import held_out, labelled_sample
 
 BITS = 18
@@ -136,6 +137,10 @@ def _gram_batches(batches):
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 5, remainder: int = 0, max_train: int = MAX_TRAIN) -> Model:
+    """Fits on at most ``max_train`` labelled rows outside the held-out fold.
+    Null texts count as empty; labels other than 0 and 1 and rows without an
+    id teach nothing; of several texts of one id the least is taken; without
+    labelled rows every score is 0.5."""
     sample = labelled_sample(docs, labels, label, mod, remainder, max_train)
     kind = sample.schema["doc_id"].dataType.simpleString()
     got = sample.select("doc_id", "label", "text").mapInArrow(_gram_batches, f"doc_id {kind}, label int, grams array<int>").toArrow()
@@ -148,11 +153,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int =
 def score(docs: DataFrame, model: Model, cut: float = 0.3, mod: int = 5, remainder: int = 0) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 if score >= ``cut``):
     one row per input row. Null and empty texts get the score of a text
-    without n-grams. Columns besides doc_id and text are ignored."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    without n-grams. Texts are read whole, however long; equal rows score
+    equally; an empty table gives an empty result. Columns besides doc_id and
+    text are ignored."""
+    held = shipped(docs.sparkSession, model)
 
     def run(batches):
-        m = held.value
+        m = opened(held)
         for b in batches:
             s = [m.score(grams(t or "")) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64())], names=["doc_id", "held_out", "score"])

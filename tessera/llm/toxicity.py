@@ -1,10 +1,11 @@
 """Toxicity by a weighted lexicon.
 
 Texts are folded (case, look-alike letters, digit substitutions) and matched
-by an Aho-Corasick automaton over word beginnings. A match inside an exception
+by an Aho-Corasick automaton over whole words. A match inside an exception
 phrase does not count. The weights of the matches, damped when a term repeats,
 are normalised by text length and put through a fitted sigmoid. Weights are
-log odds of a term's document frequency in toxic against other documents.
+log odds of a term's document frequency in toxic against other documents. All
+words that are telling enough become terms: only the sample is bounded.
 """
 
 from __future__ import annotations
@@ -19,14 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import opened, shipped
 from .nbsvm import platt
 from .training import held_out, labelled_sample
 
 MAX_TRAIN = 12000  # labelled rows that the lexicon is learned from
-MAX_TERMS = 4000  # lexicon entries
-MAX_EXCEPTIONS = 2000
-LENGTHS = range(4, 13)  # characters of a term: the beginning of a word
-LEAST_DOCS, LEAST_WEIGHT = 6, 2.5
+LEAST_DOCS, LEAST_WEIGHT = 4, 3.0  # of a term: toxic documents that have it, and log odds
+SMOOTH = 0.1  # added to document counts
+LEAST_EXCEPTION = 3  # clean documents of an exception phrase, which no toxic one may have
 
 #: Look-alike letters (Cyrillic, Greek, full-width) and the Latin letter each stands for.
 LOOK_ALIKES = dict(zip("аӏвсԁеһіјкӏмнорԛѕтԝхуαβεηικνορτυχωｏｅａｉ", "aibcdehijkimhopqstwxyabeniknoptuxwoeai"))
@@ -53,7 +54,7 @@ class Lexicon:
     def automaton(self):
         a = ahocorasick.Automaton()
         for t, w in self.terms.items():
-            a.add_word(" " + fold(t)[1:], (len(fold(t)), t, w))
+            a.add_word(fold(t) + " ", (len(fold(t)) + 1, t, w))
         for p in self.exceptions:
             a.add_word(fold(p) + " ", (len(fold(p)) + 1, None, 0.0))
         if len(a):
@@ -90,20 +91,20 @@ class Lexicon:
         return 1 / (1 + exp(-min(max(x, -30.0), 30.0)))
 
 
-def starts(text: str) -> set[str]:
-    """The distinct word beginnings of a folded text that can become terms."""
-    return {w[:n] for w in set(fold(text).split()) for n in LENGTHS if len(w) >= n}
+def words(text: str) -> set[str]:
+    """The distinct words of a folded text."""
+    return set(fold(text).split())
 
 
-def choose_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int, max_terms: int = MAX_TERMS) -> dict[str, float]:
-    """Terms by (toxic, clean) document counts: heavy enough, and no longer
-    than needed (a word beginning goes if a shorter one is about as telling)."""
-    weight = {t: log((a + 0.5) / (toxic + 1)) - log((b + 0.5) / (clean + 1)) for t, (a, b) in counts.items() if a >= LEAST_DOCS}
-    kept: dict[str, float] = {}
-    for t in sorted((t for t, w in weight.items() if w >= LEAST_WEIGHT), key=lambda t: (len(t), t)):
-        if not any(t[:n] in kept and kept[t[:n]] >= weight[t] - 1.0 for n in range(LENGTHS[0], len(t))):
-            kept[t] = weight[t]
-    return dict(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:max_terms])
+def log_odds(a: float, b: float, toxic: int, clean: int) -> float:
+    """Weight of a word in ``a`` of ``toxic`` and ``b`` of ``clean`` documents."""
+    return log((a + SMOOTH) / (toxic + 1)) - log((b + SMOOTH) / (clean + 1))
+
+
+def choose_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
+    """The words, by (toxic, clean) document counts, that are frequent and telling enough."""
+    weight = {t: log_odds(a, b, toxic, clean) for t, (a, b) in sorted(counts.items()) if a >= LEAST_DOCS}
+    return {t: w for t, w in weight.items() if w >= LEAST_WEIGHT}
 
 
 def _marks(batches):
@@ -122,7 +123,7 @@ def _term_counts(batches):
     clean: Counter = Counter()
     for b in batches:
         for t, y in zip(b.column("text").to_pylist(), b.column("label").to_pylist()):
-            (toxic if y else clean).update(starts(t))
+            (toxic if y else clean).update(words(t))
         if len(clean) + len(toxic) > 500_000:
             yield _count_batch(toxic, clean)
             toxic, clean = Counter(), Counter()
@@ -142,7 +143,7 @@ def _contexts(terms):
             out: Counter = Counter()
             for t, y in zip(b.column("text").to_pylist(), b.column("label").to_pylist()):
                 w = fold(t).split()
-                held = [any(x[:n] in terms for n in LENGTHS) for x in w]
+                held = [x in terms for x in w]
                 out.update({(f"{w[i]} {w[i + 1]}", y) for i in range(len(w) - 1) if held[i] or held[i + 1]})
             pairs = list(out.items())
             yield pa.RecordBatch.from_arrays([pa.array([p for (p, _), _ in pairs], pa.string()), pa.array([n if y else 0 for (_, y), n in pairs], pa.int64()), pa.array([0 if y else n for (_, y), n in pairs], pa.int64())], names=["term", "a", "b"])
@@ -150,30 +151,34 @@ def _contexts(terms):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 3, remainder: int = 1, max_train: int = MAX_TRAIN, max_terms: int = MAX_TERMS) -> Lexicon:
-    """Learns terms, exception phrases and the sigmoid from labelled rows
-    outside the held-out fold. Near copies in the sample count once."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 3, remainder: int = 1, max_train: int = MAX_TRAIN) -> Lexicon:
+    """Learns terms, exception phrases and the sigmoid from at most
+    ``max_train`` labelled rows outside the held-out fold. Near copies in the
+    sample count once. Null texts count as empty; rows without a label or an id
+    teach nothing; with no toxic row no term is learned and all scores are low."""
     s = labelled_sample(docs, labels, label, mod, remainder, max_train)
     kind = s.schema["doc_id"].dataType.simpleString()
-    s = s.select("doc_id", "label", "text").mapInArrow(_marks, f"doc_id {kind}, label int, text string, copy_key long").dropDuplicates(["copy_key", "label"]).persist()
+    s = s.select("doc_id", "label", "text").mapInArrow(_marks, f"doc_id {kind}, label int, text string, copy_key long")
+    s = s.groupBy("copy_key", "label").agg(F.min(F.struct("doc_id", "text")).alias("x")).select("label", "x.text").persist()
     try:
         sizes = {r["label"]: r["n"] for r in s.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
         sums = (F.sum("a").alias("a"), F.sum("b").alias("b"))
-        got = s.mapInArrow(_term_counts, "term string, a long, b long").groupBy("term").agg(*sums)
-        telling = F.log((F.col("a") + 0.5) / (sizes.get(1, 0) + 1)) - F.log((F.col("b") + 0.5) / (sizes.get(0, 0) + 1))
-        got = got.where(F.col("a") >= LEAST_DOCS).orderBy(telling.desc(), "term").limit(25 * max_terms).collect()
-        terms = choose_terms({r["term"]: (r["a"], r["b"]) for r in got}, sizes.get(1, 0), sizes.get(0, 0), max_terms)
-        pairs = s.mapInArrow(_contexts(frozenset(terms)), "term string, a long, b long").groupBy("term").agg(*sums).where("b >= 3 and a = 0")
-        lexicon = Lexicon(terms, [r["term"] for r in pairs.orderBy(F.col("b").desc(), "term").limit(MAX_EXCEPTIONS).collect()])
-        held = s.sparkSession.sparkContext.broadcast(lexicon)
+        toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
+        odds = F.log((F.col("a") + SMOOTH) / (toxic + 1)) - F.log((F.col("b") + SMOOTH) / (clean + 1))
+        got = s.mapInArrow(_term_counts, "term string, a long, b long").groupBy("term").agg(*sums).where((F.col("a") >= LEAST_DOCS) & (odds >= LEAST_WEIGHT - 1e-6)).collect()
+        terms = choose_terms({r["term"]: (r["a"], r["b"]) for r in got}, toxic, clean)
+        pairs = s.mapInArrow(_contexts(frozenset(terms)), "term string, a long, b long").groupBy("term").agg(*sums).where((F.col("b") >= LEAST_EXCEPTION) & (F.col("a") == 0))
+        lexicon = Lexicon(terms, sorted(r["term"] for r in pairs.collect()))
+        held = shipped(s.sparkSession, lexicon)
 
         def strengths(batches):
-            a = held.value.automaton()
+            lex = opened(held)
+            a = lex.automaton()
             for b in batches:
-                x = [log1p(max(0.0, held.value.strength(t, a))) for t in b.column("text").to_pylist()]
+                x = [log1p(max(0.0, lex.strength(t, a))) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), b.column("label")], names=["x", "label"])
 
-        got = s.mapInArrow(strengths, "x double, label int").toArrow()
+        got = s.mapInArrow(strengths, "x double, label int").orderBy("x", "label").toArrow()
     finally:
         s.unpersist()
     y = got["label"].to_pylist()
@@ -185,13 +190,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 3
 def score(docs: DataFrame, lexicon: Lexicon, cut: float = 0.7, mod: int = 3, remainder: int = 1, text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 if score >= ``cut``):
     one row per input row. Null, empty and matchless texts get the least score.
-    Columns besides doc_id and the text are ignored."""
-    held = docs.sparkSession.sparkContext.broadcast(lexicon)
+    Texts are scored whole, however long; equal rows score equally; an empty
+    table gives an empty result. Columns besides doc_id and the text are ignored."""
+    held = shipped(docs.sparkSession, lexicon)
 
     def run(batches):
-        a = held.value.automaton()
+        lex = opened(held)
+        a = lex.automaton()
         for b in batches:
-            s = [held.value.score(t, a) for t in b.column("text").to_pylist()]
+            s = [lex.score(t, a) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64())], names=["doc_id", "held_out", "score"])
 
     src = docs.select("doc_id", held_out(F.col("doc_id"), mod, remainder).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -200,13 +207,15 @@ def score(docs: DataFrame, lexicon: Lexicon, cut: float = 0.7, mod: int = 3, rem
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, cut: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores below ``cut``."""
-    held = docs.sparkSession.sparkContext.broadcast(lexicon)
+    """The rows of ``docs``, all columns, whose text scores below ``cut``.
+    Null and empty texts stay, as they score least."""
+    held = shipped(docs.sparkSession, lexicon)
     at = docs.columns.index(text_col)
 
     def run(batches):
-        a = held.value.automaton()
+        lex = opened(held)
+        a = lex.automaton()
         for b in batches:
-            yield b.filter(pa.array([held.value.score(t or "", a) < cut for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([lex.score(t or "", a) < cut for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -14,19 +14,22 @@ def test_fold():
 
 
 def test_lexicon_weights_exceptions_and_length():
-    lex = toxicity.Lexicon({"bad": 3.0, "awfu": 1.0}, ["not bad"])
+    lex = toxicity.Lexicon({"bad": 3.0, "awful": 1.0}, ["not bad"])
     a = lex.automaton()
     assert lex.strength("a bad day", a) > lex.strength("an awful day", a) > 0
     assert lex.strength("this is not bad", a) == 0
     assert lex.strength("not bad but bad", a) > 0
     assert lex.strength("bad " + "word " * 500, a) < lex.strength("bad word", a)
-    assert lex.strength("abad", a) == 0 and lex.strength("", a) == 0 and lex.strength(None, a) == 0
+    assert lex.strength("bad bad", a) > lex.strength("bad", a)
+    assert lex.strength("abad bads", a) == 0 and lex.strength("", a) == 0 and lex.strength(None, a) == 0
     assert lex.score("bad bad bad", a) > lex.score("fine", a)
 
 
-def test_term_choice_prefers_short_beginnings():
-    counts = {"stup": (50, 0), "stupi": (50, 0), "stupid": (50, 0), "fine": (50, 500), "rare": (2, 0)}
-    assert list(toxicity.choose_terms(counts, 60, 600)) == ["stup"]
+def test_terms_are_all_telling_words():
+    counts = {"stupid": (50, 0), "pneumonoultramicroscopic": (20, 1), "ox": (30, 0), "fine": (50, 500), "rare": (2, 0)}
+    assert set(toxicity.choose_terms(counts, 60, 600)) == {"stupid", "pneumonoultramicroscopic", "ox"}
+    many = {f"w{i}": (9, 0) for i in range(6000)}
+    assert len(toxicity.choose_terms(many, 60, 600)) == 6000
 
 
 def corpus(n=400):
@@ -124,5 +127,13 @@ def test_held_out_accuracy_on_the_data(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = QUERIES["op8_quality_classifier"](spark, SF).where("held_out").join(labels, "doc_id").collect()
     assert np.mean([r.quality == r.predicted for r in got]) > 0.9
-    got = QUERIES["op2_toxicity"](spark, SF).where("held_out").join(labels, "doc_id").collect()
-    assert np.mean([r.toxic == r.predicted for r in got]) > 0.9
+
+
+def test_toxicity_recall_and_precision_on_the_data(spark):
+    from tessera.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("toxic is not null")
+    got = QUERIES["op2_toxicity"](spark, folder).where("held_out").join(labels, "doc_id").collect()
+    caught = sum(r.toxic and r.predicted for r in got)
+    assert caught >= 0.9 * sum(r.toxic for r in got) and caught >= 0.98 * sum(r.predicted for r in got)
