@@ -2,13 +2,12 @@
 
 import corpus_pipeline
 from test_rules import slow_line_dedup
-from test_simhash import slow_components
+from test_simhash import similar, slow_components, words_set
 from test_texts import slow_distance
 
 import numpy as np
 from tessera.llm import decontam, toxicity
 from tessera.llm.common import table
-from tessera.llm.simhash import WIDE_DIFF, fingerprints
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,9 +32,8 @@ def test_stages_follow_the_plain_versions(spark):
 
     docs = stages["near_dedup"](spark, docs, SF).persist()
     ids = sorted(want)
-    codes = np.array([fingerprints(want[i].encode(), 5, 4) for i in ids], np.uint64)
-    apart = np.bitwise_count(codes[:, None, :] ^ codes[None, :, :])
-    labels = slow_components(ids, (apart[:, :, 0] <= 10) & (apart.sum(axis=2, dtype=np.int64) <= WIDE_DIFF))
+    sets = [words_set(want[i]) for i in ids]
+    labels = slow_components(ids, np.array([[similar(a, b) for b in sets] for a in sets]))
     want = {i: want[i] for i, c in zip(ids, labels) if i == c}
     assert docs.columns == columns and {r.doc_id: r.text for r in docs.collect()} == want
 
