@@ -92,13 +92,52 @@ def test_plan_places_and_downsizes():
 
 
 def test_best_fit_takes_the_tightest_bin():
-    where, loads = packing.best_fit([6, 5, 4, 3], [10], 10, 0)
-    assert where == [0, 1, 0, 1] and loads == [10, 8]
+    for limit in (None, 10):
+        where, loads = packing.best_fit([6, 5, 4, 3], [10], 0, limit)
+        assert where == [0, 1, 0, 1] and loads == [10, 8]
+
+
+def cost(caps, overhead=packing.OVERHEAD):
+    return sum(caps) + overhead * len(caps)
+
+
+def test_mixed_openings_beat_each_single_limit():
+    lengths, sizes = [500] * 200 + [290] * 300, [600, 1000]
+    where, loads = packing.best_fit(lengths, sizes, 32)
+    caps = [next(s for s in sizes if n <= s) for n in loads]
+    assert set(caps) == {600, 1000}
+    for limit in sizes:
+        _, other = packing.best_fit(lengths, sizes, 32, limit)
+        assert cost(caps) < cost([next(s for s in sizes if n <= s) for n in other])
+    assert packing.plan(lengths, tuple(sizes))[1] == caps
+
+
+def least_cost(lengths, sizes, overhead):
+    """The optimum over all partitions of the pieces."""
+
+    def go(i, loads):
+        if i == len(lengths):
+            return sum(next(s for s in sizes if n <= s) + overhead for n in loads)
+        found = [go(i + 1, [*loads, lengths[i]])]
+        found += [go(i + 1, [*loads[:k], n + lengths[i], *loads[k + 1 :]]) for k, n in enumerate(loads) if n + lengths[i] <= sizes[-1]]
+        return min(found)
+
+    return go(0, [])
+
+
+def test_plans_are_close_to_the_optimum():
+    rng, best, ours, equal = random.Random(4), 0, 0, 0
+    for _ in range(60):
+        sizes, overhead = sorted(rng.sample(range(8, 40), 3)), rng.choice([0, 2, 5])
+        lengths = sorted((rng.randint(1, sizes[-1]) for _ in range(7)), reverse=True)
+        low, got = least_cost(lengths, sizes, overhead), cost(packing.plan(lengths, tuple(sizes), overhead)[1], overhead)
+        assert low <= got
+        best, ours, equal = best + low, ours + got, equal + (low == got)
+    assert ours <= 1.04 * best and equal >= 30
 
 
 def test_plan_is_no_worse_than_one_size():
     lengths = sorted([random.Random(k).choice([60, 130, 500, 900]) for k in range(300)], reverse=True)
-    cost = lambda caps: sum(caps) + packing.OVERHEAD * len(caps)
     for size in (1024, 2048, 4096):
         assert cost(packing.plan(lengths)[1]) <= cost(packing.plan(lengths, (size,))[1])
 
@@ -127,7 +166,17 @@ def test_pack_over_several_shards_is_stable(docs):
     d = docs([(i, "w " * (i % 90)) for i in range(600)])
     a = sorted(map(tuple, packing.pack(d, shard_pieces=50).collect()))
     b = sorted(map(tuple, packing.pack(d.repartition(7), shard_pieces=50).collect()))
-    assert a == b and len({r[0] >> 40 for r in a}) > 5
+    assert a == b and len({r[0] >> 32 for r in a}) > 5
+
+
+def test_pack_spreads_an_id_that_repeats(docs):
+    d = docs([(7, "w " * (i % 90)) for i in range(400)] + [(None, "w w")] * 200 + [(i, "w") for i in range(100, 150)])
+    got = packing.pack(d, shard_pieces=50).collect()
+    shards = {}
+    for r in got:
+        shards.setdefault(r.bin_id >> 32, []).append(r)
+    assert len(got) == 650 and len(shards) > 8 and max(map(len, shards.values())) < 300
+    assert sum(r.n_tokens for r in got) == sum(i % 90 for i in range(400)) + 450
 
 
 # ----------------------------------------------------------------- byte repeats
