@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, linededup, packing, simhash, toxicity
-from tessera.llm.common import staged, table
+from tessera.llm.common import staged, table, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +21,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of three lines, or of 50 words in fewer, cut out; n_chars follows the text."""
-    out = linededup.dedup_lines(docs, removed_col="lines_gone", min_words=linededup.MIN_WORDS)
-    return out.withColumn("n_chars", F.when(F.col("lines_gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Later repeated runs of lines cut out, as op9 does; n_chars follows the
+    text. All rows stay, null and empty texts as they are."""
+    gone = unused(docs, "lines_gone")
+    out = linededup.dedup_lines(docs, removed_col=gone)
+    return out.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,7 +58,7 @@ def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
     measures 0. Five-word windows are compared by their 64-bit hash within one
     text. Runs row by row: no shuffle, and the work for a text of n words is
     O(n log n) whatever repeats in it."""
-    text, words, hashes, pairs, starts = (unused(df, f"__{x}") for x in ("text", "words", "hashes", "pairs", "starts"))
+    text, words, lines, hashes, pairs, starts = (unused(df, f"__{x}") for x in ("text", "words", "lines", "hashes", "pairs", "starts"))
     stop = [F.lit(w) for w in STOP_WORDS]
     d = df.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     d = d.withColumn(words, F.filter(F.split(F.col(text), f"{WS_CLASS}+"), lambda w: w != ""))
@@ -68,11 +68,11 @@ def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
             "word_chars": F.length(F.translate(F.col(text), WS, "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.translate(F.col(text), "#*$%&|<>", ""))).cast("long"),
             "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(*stop))).cast("long"),
-            "__lines": F.filter(F.split(F.col(text), "\n"), lambda x: F.length(F.translate(x, WS, "")) > 0),
+            lines: F.filter(F.split(F.col(text), "\n"), lambda x: F.length(F.translate(x, WS, "")) > 0),
             hashes: F.when(F.size(words) >= 6, F.transform(F.sequence(F.lit(0), F.size(words) - 5), lambda i: F.xxhash64(*[F.get(F.col(words), i + j) for j in range(5)]))),
         }
     )
-    d = d.withColumns({"n_lines": F.size("__lines").cast("long"), "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long")})
+    d = d.withColumns({"n_lines": F.size(lines).cast("long"), "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")})
     # only texts with a repeated window sort their (hash, position) pairs
     repeated = F.size(F.array_distinct(hashes)) < F.size(hashes)
     d = d.withColumn(pairs, F.when(repeated, F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
@@ -82,7 +82,7 @@ def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
     # words under overlapping windows count once: each adds its distance to the next, at most 5
     s = F.col(starts)
     covered = F.aggregate(F.transform(s, lambda x, i: F.least(F.lit(5), F.coalesce(F.get(s, i + 1) - x, F.lit(5)))), F.lit(0), lambda a, x: a + x)
-    return d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop(text, words, hashes, pairs, starts, "__lines")
+    return d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop(text, words, lines, hashes, pairs, starts)
 
 
 def judge(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -1,5 +1,6 @@
 """DuckDB SQL for the operators that SQL can express."""
 
+from .linededup import MIN_WORDS
 from .quality_rules import STOP_WORDS
 from .urlfilter import STRONGEST, TWO_LABEL_SUFFIXES, WEAKEST
 
@@ -83,15 +84,29 @@ WITH d AS (
 ), l AS (
   SELECT r, doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d
 ), f AS (
-  SELECT r, doc_id, i, trim(line, {_BLANKS}) AS line, row_number() OVER (PARTITION BY r ORDER BY i) AS p FROM l WHERE trim(line, {_BLANKS}) <> ''
+  SELECT r, doc_id, i, trim(line, {_BLANKS}) AS line, len(string_split_regex(trim(line, {_BLANKS}), '[ \\t\\n\\x0B\\f\\r]+')) AS n,
+         row_number() OVER (PARTITION BY r ORDER BY i) AS p FROM l WHERE trim(line, {_BLANKS}) <> ''
+), near AS (
+  SELECT r, doc_id, p, line AS a, lead(line) OVER o AS b, lead(line, 2) OVER o AS c, n AS na, lead(n) OVER o AS nb, lead(n, 2) OVER o AS nc FROM f WINDOW o AS (PARTITION BY r ORDER BY i)
+), made AS (
+  SELECT r, doc_id, p, CASE WHEN na >= {MIN_WORDS} THEN md5(a) WHEN na + nb >= {MIN_WORDS} THEN md5(a || chr(10) || b) WHEN c IS NOT NULL THEN md5(a || chr(10) || b || chr(10) || c) END AS print,
+         coalesce(na >= {MIN_WORDS} OR na + nb >= {MIN_WORDS} OR na + nb + nc >= {MIN_WORDS}, false) AS rich FROM near
 ), w AS (
-  SELECT r, doc_id, p, line AS a, lead(line) OVER o AS b, lead(line, 2) OVER o AS c FROM f WINDOW o AS (PARTITION BY r ORDER BY i)
+  SELECT *, lag(print) OVER o AS before, lead(print) OVER o AS after FROM made WHERE print IS NOT NULL WINDOW o AS (PARTITION BY r ORDER BY p)
+), prints AS (
+  SELECT r, doc_id, p, print FROM w WHERE rich OR print <= before OR print < after OR before IS NULL AND after IS NULL
 ), first AS (
-  SELECT a, b, c, min((doc_id, p)) AS spot FROM w WHERE c IS NOT NULL GROUP BY a, b, c HAVING count(*) > 1
+  SELECT print, min((doc_id, p)) AS spot FROM prints GROUP BY print HAVING count(*) > 1
 ), later AS (
-  SELECT w.r, w.p FROM w JOIN first USING (a, b, c) WHERE (w.doc_id, w.p) > first.spot
+  SELECT r, p, spot[1] AS first_id, p - spot[2] AS down FROM prints JOIN first USING (print) WHERE (doc_id, p) > spot
+), equal AS (
+  SELECT x.r, x.first_id, x.down, a.p, a.p - row_number() OVER (PARTITION BY x.r, x.first_id, x.down ORDER BY a.p) AS island
+  FROM (SELECT DISTINCT r, first_id, down FROM later) x JOIN f a ON a.r = x.r JOIN f b ON b.doc_id = x.first_id AND b.p = a.p - x.down AND b.line = a.line
+), runs AS (
+  SELECT r, first_id, down, min(p) AS a, max(p) AS b FROM equal GROUP BY r, first_id, down, island
 ), gone AS (
-  SELECT DISTINCT f.r, f.i FROM later JOIN f ON f.r = later.r AND f.p BETWEEN later.p AND later.p + 2
+  SELECT DISTINCT f.r, f.i FROM later JOIN runs ON runs.r = later.r AND runs.first_id = later.first_id AND runs.down = later.down AND later.p BETWEEN runs.a AND runs.b
+    JOIN f ON f.r = runs.r AND f.p BETWEEN runs.a AND runs.b
 ), kept AS (
   SELECT l.r, count(*) AS n_lines, count(g.i) AS n_removed, coalesce(string_agg(CASE WHEN g.i IS NULL THEN line END, chr(10) ORDER BY l.i), '') AS t
   FROM l LEFT JOIN gone g ON l.r = g.r AND l.i = g.i GROUP BY l.r

@@ -105,7 +105,9 @@ def judge(pages: DataFrame, outcome_col: str | None, url_col: str = "url", rules
 def page_outcomes(pages: DataFrame, labels: DataFrame, url_col: str = "url") -> DataFrame:
     """``pages`` with ``page_outcome``: labels.quality of the document that the
     path names (/<language>/<doc_id>), null where it names none or none is
-    labelled. A document labelled more than once counts as its lowest label."""
+    labelled. A document labelled more than once counts as its lowest label; labels
+    without an id count for none. A column ``page_outcome`` of ``pages`` is replaced;
+    all other columns and all rows, repeated ones too, are kept as they are."""
     _, path = parts(F.col(url_col))
     key = unused(pages, "named_doc")
     d = pages.withColumn(key, F.regexp_extract(path, r"^/[a-z]{2}/([0-9]{1,18})(?:[^0-9]|$)", 1).try_cast("long"))

@@ -1,4 +1,6 @@
+import hashlib
 import os
+import random
 
 import duckdb
 import pytest
@@ -49,7 +51,7 @@ def test_measures(docs, text):
 
 def test_quality_odd_input(odd):
     d = odd.withColumn("n_words", F.lit("clash")).withColumn("__lines", F.lit(0))
-    assert quality_rules.judge(d).count() == 10
+    assert [r["__lines"] for r in quality_rules.judge(d).collect()] == [0] * 10
     assert quality_rules.judge(d.limit(0)).count() == 0
     assert not any(r.kept for r in quality_rules.judge(d).where("text is null or text = ''").collect())
 
@@ -91,62 +93,90 @@ def test_suffix_and_domain(spark):
     assert got == [("co.uk", "b.co.uk"), ("com", "example.com"), ("localhost", "localhost"), ("", "")]
 
 
-def slow_line_dedup(rows, run=3):
-    seen, gone, texts = {}, {}, {}
-    uniq = sorted({r for r in rows if r[0] is not None}, key=lambda r: (r[0], r[1] or "")) + sorted({r for r in rows if r[0] is None}, key=lambda r: r[1] or "")
-    full = {}
-    for r in uniq:
+def slow_line_dedup(rows, run=3, words=50, span=2):
+    """Plain winnowing: fingerprints, first places, extension line by line."""
+    full, first, marks = {}, {}, {}
+    order = lambda r: (r[0] is None, r[0] or 0)
+    for r in sorted(set(rows), key=order):
         lines = (r[1] or "").split("\n")
         full[r] = [(i, x.strip(" \t\x0b\x0c\r")) for i, x in enumerate(lines) if x.strip(" \t\x0b\x0c\r")]
-        for p in range(len(full[r]) - run + 1):
-            key = tuple(x for _, x in full[r][p : p + run])
-            spot = (r[0] is None, r[0] or 0, p)
-            seen[key] = min(seen.get(key, spot), spot)
-    for r in uniq:
-        gone = {full[r][q][0] for p in range(len(full[r]) - run + 1) if seen[tuple(x for _, x in full[r][p : p + run])] < (r[0] is None, r[0] or 0, p) for q in range(p, p + run)}
-        texts[r] = r[1] if not gone else "\n".join(x for i, x in enumerate(r[1].split("\n")) if i not in gone)
-    return sorted(((r[0], texts[r]) for r in rows), key=repr)
+        text = [x for _, x in full[r]]
+        made = []
+        for p in range(len(text)):
+            for k in range(1, run + 1):
+                n = sum(len(x.split()) for x in text[p : p + k])
+                if p + k <= len(text) and (k == run or n >= words):
+                    made.append((hashlib.md5("\n".join(text[p : p + k]).encode()).hexdigest(), -p, n >= words))
+                    break
+        chosen = {min(made[j : j + span]) for j in range(max(1, len(made) - span + 1))} if made else set()
+        marks[r] = sorted((-w[1], w[0]) for w in chosen | {w for w in made if w[2]})
+        for p, mark in marks[r]:
+            first.setdefault(mark, (r, p))
+    gone = {r: set() for r in full}
+    for r, prints in marks.items():
+        for p, mark in prints:
+            o, q = first[mark]
+            if (o, q) == (r, p):
+                continue
+            a, b = full[r], full[o]
+            lo = hi = 0
+            while p - lo > 0 and q - lo > 0 and a[p - lo - 1][1] == b[q - lo - 1][1]:
+                lo += 1
+            while p + hi + 1 < len(a) and q + hi + 1 < len(b) and a[p + hi + 1][1] == b[q + hi + 1][1]:
+                hi += 1
+            gone[r] |= {a[i][0] for i in range(p - lo, p + hi + 1)}
+    out = [(r[0], r[1] if not gone[r] else "\n".join(x for i, x in enumerate(r[1].split("\n")) if i not in gone[r])) for r in rows]
+    return sorted(out, key=repr)
 
 
 def test_line_dedup_by_brute_force(docs):
-    import random
-
-    random.seed(4)
+    random.seed(3)
     rows = []
-    for i in range(60):
+    for i in range(120):
         lines = [random.choice(["alpha", "beta ", "", "gamma", "delta", f"own {i} {k}"]) for k in range(random.randint(0, 14))]
-        if i % 4 == 0:
+        if i % 3 == 0:
             lines += ["shared one", "shared two", "", "shared three", "shared four"]
         rows.append((i, "\n".join(lines)))
-    rows += [(3, rows[3][1]), (None, rows[8][1]), (61, None), (62, "\n".join(["same"] * 9))]
-    got = linededup.dedup_lines(docs(rows)).select("doc_id", "text").collect()
-    assert sorted(map(tuple, got), key=repr) == slow_line_dedup(rows)
+    rows += [(200, rows[0][1]), (200, rows[0][1]), (None, rows[3][1])]
+    for more in ({}, {"min_run": 2, "span": 3}, {"min_words": None, "span": 1}):
+        got = linededup.dedup_lines(docs(rows), **more).select("doc_id", "text").collect()
+        assert sorted(map(tuple, got), key=repr) == slow_line_dedup(rows, more.get("min_run", 3), more.get("min_words", 50) or 10**9, more.get("span", 2))
 
 
-def slow_long_dedup(rows, run=3, words=50):
-    """Later runs of three lines, and of fewer with many words, cut out."""
-    full = {i: [(k, x.strip(" \t\x0b\x0c\r")) for k, x in enumerate(t.split("\n")) if x.strip(" \t\x0b\x0c\r")] for i, t in rows}
-    seen, gone = set(), {i: set() for i, _ in rows}
-    for i, _ in sorted(rows):
-        for p in range(len(full[i])):
-            for r in range(1, run + 1):
-                held = full[i][p : p + r]
-                key = tuple(x for _, x in held)
-                if len(held) == r and (r == run or sum(len(x.split()) for x in key) >= words):
-                    gone[i] |= {k for k, _ in held} if key in seen else set()
-                    seen.add(key)
-    return sorted((i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])) for i, t in rows)
+def test_repeated_runs_are_guaranteed(docs):
+    """Each run of four lines, or of 50 words in up to three, that an earlier text holds goes."""
+    random.seed(11)
+    rows, planted = [], []
+    for i in range(60):
+        lines = [f"own {i} {k}" for k in range(random.randint(2, 9))]
+        rows.append((i, "\n".join(lines)))
+    for n, size in ((4, 2), (7, 3), (1, 50), (2, 26), (3, 17)):
+        run = [" ".join(f"r{n}l{k}w{j}" for j in range(size)) for k in range(n)]
+        for i in random.sample(range(60), 5):
+            rows[i] = (i, "\n".join([rows[i][1], *run, f"between {i} {n}"]))
+        planted.append("\n".join(run))
+    got = dict(linededup.dedup_lines(docs(rows)).select("doc_id", "text").collect())
+    for run in planted:
+        assert sum(all(x in t.split("\n") for x in run.split("\n")) for t in got.values()) == 1
+
+
+def test_extension_finds_what_no_fingerprint_marks(docs):
+    """A repeated run is longer than its fingerprints: its ends come by extension."""
+    run = [f"line {k}" for k in range(12)]
+    rows = [(1, "\n".join(["top", *run, "end"])), (2, "\n".join(["other", *run, "more"]))]
+    marked = linededup.fingerprints(docs(rows), span=4).where("doc_id = 2").first()
+    covered = {x.p + j for x in marked.prints for j in range(3)}
+    assert not set(range(1, 13)) <= covered
+    got = dict(linededup.dedup_lines(docs(rows), span=4).select("doc_id", "text").collect())
+    assert got == {1: rows[0][1], 2: "other\nmore"}
 
 
 def test_line_dedup_cuts_long_runs_of_few_lines(docs):
-    import random
-
-    random.seed(6)
+    random.seed(5)
     lines = [" ".join(f"l{k}w{j}" for j in range(n)) for k, n in enumerate([1, 5, 20, 24, 25, 26, 30, 49, 50, 51, 90])]
     rows = [(i, "\n".join(random.choice(["", "{} ", " {}", "{}"]).format(random.choice(lines)) if random.random() < 0.6 else f"own {i} {k}" for k in range(random.randint(1, 6)))) for i in range(80)]
-    got = linededup.dedup_lines(docs(rows), min_words=50).select("doc_id", "text").collect()
-    want = slow_long_dedup(rows)
-    assert sorted(map(tuple, got)) == want != slow_line_dedup(rows)
+    got = linededup.dedup_lines(docs(rows)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=repr) == slow_line_dedup(rows) != slow_line_dedup(rows, words=10**9)
 
 
 def test_pipeline_cuts_a_long_line(spark, docs):
@@ -158,8 +188,10 @@ def test_pipeline_cuts_a_long_line(spark, docs):
 
 
 def test_line_dedup_odd_input(odd):
-    d = odd.withColumn("row_key", F.lit(1)).withColumn("Gone", F.lit(2))
+    names = ["Row_key", "row_key_", "found_id", "runs", "all_lines", "keep", "spot", "lines"]
+    d = odd.withColumns({n: F.lit(n) for n in names})
     got = linededup.dedup_lines(d, removed_col="n_gone")
+    assert all(r[n] == n for r in got.collect() for n in names)
     assert got.columns == [*d.columns, "n_gone"] and got.count() == 10
     assert linededup.dedup_lines(d.limit(0)).count() == 0
 
