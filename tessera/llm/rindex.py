@@ -26,7 +26,7 @@ from .common import released, staged
 
 LENGTH = 50
 GRAM = 16
-PIECE = 512  # windows of a stretch at most; longer ones (of one repeated letter, say) are cut
+PIECE = 40  # windows of a stretch at most; longer ones (of one repeated letter, say) are cut
 CHUNK = 1 << 18  # bytes of a text whose hashes are held at a time
 SLICE_BYTES = 16 << 20  # bytes of texts, or of stretches, that a task works on at a time
 UNIT_BYTES = 1 << 19  # stretches indexed together: whole minimizers, from about this many bytes on
@@ -40,11 +40,17 @@ BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse mod 2^64
 
 
 # ------------------------------------------------------------------ minimizers
+def eight_bytes(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on (zeros after the end), the first lowest."""
+    a = np.concatenate((text, np.zeros(7, np.uint8))).astype(U)
+    for s in (1, 2, 4):
+        a = a[:-s] | (a[s:] << U(8 * s))
+    return a
+
+
 def gram_hashes(text: bytes, k: int = GRAM) -> np.ndarray:
     """A 64-bit hash of each k-byte gram (k a multiple of 8)."""
-    a = np.frombuffer(text + b"\0" * 8, np.uint8).astype(U)
-    for s in (1, 2, 4):  # eight bytes from each position on
-        a = a[:-s] | (a[s:] << U(8 * s))
+    a = eight_bytes(np.frombuffer(text, np.uint8))
     n = len(text) - k + 1
     h = np.zeros(n, U)
     for j in range(0, k, 8):
@@ -154,12 +160,13 @@ class RunLengthIndex:
     """Run-length Burrows-Wheeler index of stretches of bytes, each of one
     document. Kept: the runs, the text places of both ends of each, the blocks
     of rows that share ``length`` bytes with the least document of each, and
-    the text that match lengths are read off."""
+    the bytes of the text, eight at a time, that match lengths are read off."""
 
     def __init__(self, held: list[bytes], docs: np.ndarray, length: int = LENGTH):
         sep = bytes([BARRIER])
-        self.text = text = np.frombuffer(sep.join(held) + sep, np.uint8)
-        n = self.rows = len(text)
+        text = np.frombuffer(sep.join(held) + sep, np.uint8)
+        n, self.length = len(text), length
+        self.rows = n
         sa, same = sorted_suffixes(text, length)
         last = text[sa - 1]  # the byte before each suffix
         # a row after a barrier is a run of its own: no match steps past the start of a stretch
@@ -172,23 +179,22 @@ class RunLengthIndex:
         self.run_first = np.empty(len(size), np.int64)  # row that the first row of a run steps to
         self.run_first[order] = np.cumsum(size[order]) - size[order]
         self.by_byte = self.run_byte[order] * len(size) + order  # runs by byte, for the nearest one of a byte
+        self.words = eight_bytes(text)
         self.block_start = np.flatnonzero(~same)
         owner = np.cumsum(text == BARRIER) - (text == BARRIER)
         self.block_least = np.minimum.reduceat(np.asarray(docs, np.int64)[owner[sa]], self.block_start)
 
     def _common(self, place: np.ndarray, query: np.ndarray, at: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Bytes (up to ``most``) that the text at each place shares with the query at ``at``."""
-        got, live, step = np.zeros(len(place), np.int64), np.flatnonzero(most > 0), 16
-        done = 0
+        """Bytes (up to ``most``) that the text at each place shares with the
+        query at ``at``; both are given as eight bytes from each place on."""
+        got, live, done = np.zeros(len(place), np.int64), np.flatnonzero(most > 0), 0
         while len(live):
-            j = done + np.arange(step)
-            p, q = place[live, None] + j, at[live, None] + j
-            differ = (self.text[np.minimum(p, self.rows - 1)] != query[np.minimum(q, len(query) - 1)]) | (j >= most[live, None])
-            first = differ.argmax(axis=1)
-            whole = ~differ[np.arange(len(live)), first]
-            got[live] = done + np.where(whole, step, first)
-            live, done = live[whole], done + step
-        return got
+            x = self.words[np.minimum(place[live] + done, self.rows - 1)] ^ query[np.minimum(at[live] + done, len(query) - 1)]
+            same = (np.bitwise_count((x & (~x + U(1))) - U(1)) >> 3).astype(np.int64)  # of the lowest bytes
+            got[live] = done + same
+            done += 8
+            live = live[(same == 8) & (most[live] > done)]
+        return np.minimum(got, most)
 
     def _jump(self, run, c, size, query, at):
         """Where a match goes on that the byte ``c`` before it does not extend:
@@ -209,12 +215,12 @@ class RunLengthIndex:
 
     def matching_statistics(self, query: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each place of barrier-ended queries the length of the longest
-        match that starts there, and a row of the index that has it. All queries
-        stream at once, from their ends leftwards."""
+        match that starts there (``length`` if it is longer), and a row of the
+        index that has it. All queries stream at once, from their ends leftwards."""
         ends = np.cumsum(sizes + 1) - 1
         order = np.argsort(-sizes, kind="stable")
         ends, down = ends[order], -sizes[order]
-        length, rows = np.zeros(len(query), np.int64), np.zeros(len(query), np.int64)
+        length, rows, words = np.zeros(len(query), np.int64), np.zeros(len(query), np.int64), eight_bytes(query)
         row, got = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
         for t in range(1, int(sizes.max(initial=0)) + 1):
             m = int(np.searchsorted(down, -t, side="right"))  # queries of t bytes or more
@@ -223,8 +229,8 @@ class RunLengthIndex:
             run = np.searchsorted(self.run_start, row, side="right") - 1
             miss = np.flatnonzero(self.run_byte[run] != c)
             if len(miss):
-                run[miss], row[miss], got[miss] = self._jump(run[miss], c[miss], got[miss], query, place[miss] + 1)
-            row, got = np.where(run >= 0, self.run_first[run] + row - self.run_start[run], 0), np.where(run >= 0, got + 1, 0)
+                run[miss], row[miss], got[miss] = self._jump(run[miss], c[miss], got[miss], words, place[miss] + 1)
+            row, got = np.where(run >= 0, self.run_first[run] + row - self.run_start[run], 0), np.where(run >= 0, np.minimum(got + 1, self.length), 0)
             length[place], rows[place] = got, row
         return length, rows
 

@@ -227,7 +227,7 @@ def test_index_by_brute_force(seed):
     for x in asked:
         for i in range(len(x)):
             best = max(shared_prefix(x[i:], k[j:]) for k in known for j in range(len(k)))
-            assert best == length[at + i]
+            assert min(best, 50) == length[at + i]
             if best >= 50:
                 long += 1
                 assert index.least_documents(rows[at + i : at + i + 1])[0] == min(d for k, d in zip(known, docs) if x[i : i + 50] in k)
