@@ -27,7 +27,7 @@ def _blank_trimmed(x):
 
 
 def fingerprints(docs: DataFrame, min_run: int = MIN_RUN, min_words: int | None = MIN_WORDS, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row_key, lines, prints): for each text with a window its lines
+    """(doc_id, row_key, lines, prints): for each text its lines
     that are not blank, as (line number, hash), and its fingerprints, as (place
     among these lines, hash). ``row_key`` is the hash of id and text."""
     lines = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1)
@@ -35,7 +35,7 @@ def fingerprints(docs: DataFrame, min_run: int = MIN_RUN, min_words: int | None
     words = (lambda t: F.size(F.split(t, f"{WS_CLASS}+"))) if min_words else (lambda t: F.lit(0))
     trimmed = F.filter(F.transform("all_lines", lambda x, i: F.struct(i.alias("i"), _blank_trimmed(x).alias("t"))), lambda s: s["t"] != "")
     full = F.transform(trimmed, lambda s: F.struct(s["i"].alias("i"), s["t"].alias("t"), words(s["t"]).alias("n")))
-    src = src.select("doc_id", "row_key", full.alias("full")).where(F.size("full") > 0)
+    src = src.select("doc_id", "row_key", full.alias("full"))  # a filter here would be pushed below, with copies of what it names
     at = lambda p, j: F.get(F.col("full"), p + j)
 
     def window(p):
@@ -50,10 +50,10 @@ def fingerprints(docs: DataFrame, min_run: int = MIN_RUN, min_words: int | None
         return out
 
     windows = F.filter(F.transform(F.sequence(F.lit(0), F.size("full") - 1), window), lambda w: w.isNotNull())
-    src = src.withColumn("windows", windows).where(F.size("windows") > 0)
+    src = src.withColumn("windows", windows)
     groups = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("windows") - span))
     least = F.transform(groups, lambda j: F.array_min(F.slice("windows", j + 1, F.lit(span))))
-    chosen = F.array_distinct(F.concat(least, F.filter("windows", lambda w: w["rich"])))
+    chosen = F.filter(F.array_distinct(F.concat(least, F.filter("windows", lambda w: w["rich"]))), lambda w: w.isNotNull())
     prints = F.transform(chosen, lambda w: F.struct((-w["back"]).alias("p"), w["print"].alias("print")))
     held = F.transform("full", lambda s: F.struct(s["i"].alias("i"), F.xxhash64(s["t"]).alias("h")))
     return src.select("doc_id", "row_key", held.alias("lines"), prints.alias("prints"))
@@ -63,8 +63,7 @@ def repeated_runs(docs: DataFrame, min_run: int = MIN_RUN, min_words: int | None
     """(doc_id, row_key, runs): for each text with repeated runs the (first,
     last) line numbers of the runs that go. A fingerprint's first place is
     the least by (id, place); null ids come last."""
-    # a row repeated under one id counts once
-    marks = staged(fingerprints(docs, min_run, min_words, span, id_col, text_col).dropDuplicates(["doc_id", "row_key"]), "lines")
+    marks = staged(fingerprints(docs, min_run, min_words, span, id_col, text_col), "lines")
     prints = marks.select("doc_id", "row_key", F.explode("prints").alias("x")).select("doc_id", "row_key", "x.print", "x.p")
     prints = prints.withColumn("spot", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "p")).select("print", "spot")
     first = staged(prints.groupBy("print").agg(F.min("spot").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("print", "first"), "lines")
@@ -73,7 +72,7 @@ def repeated_runs(docs: DataFrame, min_run: int = MIN_RUN, min_words: int | None
     pair = {"doc_id": F.col("spot.doc_id"), "row_key": F.col("spot.row_key"), "first_id": F.col("first.doc_id"), "first_key": F.col("first.row_key"), "down": F.col("spot.p") - F.col("first.p")}
     met = later.select(*[c.alias(n) for n, c in pair.items()], F.col("spot.p").alias("p"))
     met = met.groupBy(*pair).agg(F.sort_array(F.collect_set("p")).alias("places"))
-    texts = marks.select("doc_id", "row_key", "lines")
+    texts = marks.select("doc_id", "row_key", "lines").dropDuplicates(["doc_id", "row_key"])  # a row repeated under one id counts once
     met = met.join(texts, met["doc_id"].eqNullSafe(texts["doc_id"]) & (met["row_key"] == texts["row_key"])).select(met["doc_id"], met["row_key"], "first_id", "first_key", "down", "places", "lines")
     other = texts.select(F.col("doc_id").alias("o_id"), F.col("row_key").alias("o_key"), F.col("lines").alias("o_lines"))
     met = met.join(other, F.col("first_id").eqNullSafe(F.col("o_id")) & (F.col("first_key") == F.col("o_key")))
