@@ -28,7 +28,7 @@ LENGTH = 50
 GRAM = 16
 PIECE = 40  # windows of a stretch at most; longer ones (of one repeated letter, say) are cut
 CHUNK = 1 << 18  # bytes of a text whose hashes are held at a time
-SLICE_BYTES = 16 << 20  # bytes of texts, or of stretches, that a task works on at a time
+SLICE_BYTES = 8 << 20  # bytes of texts, or of stretches, that a task works on at a time
 UNIT_BYTES = 1 << 19  # stretches indexed together: whole minimizers, from about this many bytes on
 #: A minimizer expected in more stretches than this, or than a millionth of all, is cut into single windows.
 COMMON = 4096
@@ -282,6 +282,12 @@ def _slices(batch, column: str = "text"):
         at = end
 
 
+def _each(batch, step: int = 32):
+    """The batch's rows as Python values, a few at a time: their blobs are large."""
+    for at in range(0, batch.num_rows, step):
+        yield from zip(*(c.to_pylist() for c in batch.slice(at, step).columns))
+
+
 def _rows(keys: np.ndarray, *values: np.ndarray):
     """The distinct keys in order, and for each array the bytes of each key's values."""
     order = np.argsort(keys, kind="stable")
@@ -386,7 +392,7 @@ def _compare(batches):
         whole = b.filter(pc.is_valid(b.column("doc")))
         if whole.num_rows:
             yield _batch(TOLD, whole.column("doc"), whole.column("sk"), None)
-        for bucket, doc, mh, sk, ids in zip(*(b.column(i).to_pylist() for i in range(5))):
+        for bucket, doc, mh, sk, ids in _each(b):
             if doc is not None:
                 continue
             if bucket != now and parts:
@@ -499,7 +505,7 @@ def _match(length):
             known = b.filter(pc.is_valid(b.column("doc")))
             if known.num_rows:
                 yield known.select(["doc", "k1", "spans"])
-            for bucket, doc, _, _, *rest in zip(*(b.column(i).to_pylist() for i in range(11))):
+            for bucket, doc, _, _, *rest in _each(b):
                 if doc is not None:
                     continue
                 if bucket != now and parts:
@@ -547,7 +553,7 @@ def common_minimizers(keyed: DataFrame, total: int, length: int, common: int = C
     return np.sort(got["mh"].to_numpy().view(U)).tobytes()
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 32 << 20, common: int = COMMON) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 8 << 20, common: int = COMMON) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per input row.
 
     Removes each byte covered by a ``length``-byte string that also starts in
