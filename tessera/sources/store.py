@@ -32,11 +32,27 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes a table version and reads it back, which ends its lineage."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def path_of(df: DataFrame) -> str:
+    """Where ``settle`` wrote a table version."""
+    return df._settled_at
+
+
+def read_parts(spark: SparkSession, schema, parts) -> DataFrame:
+    """One scan over several folders of one table."""
+    return spark.read.schema(schema).parquet(*parts)
+
+
+def table_path(folder: str, name: str) -> str:
+    return f"{folder}/{name}.parquet"
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.parquet(table_path(folder, name))
 
 
 def backup(tables: dict[str, DataFrame], folder: str) -> None:
