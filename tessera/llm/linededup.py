@@ -68,14 +68,14 @@ def repeated_runs(docs: DataFrame, min_run: int = MIN_RUN, min_words: int | None
     prints = prints.withColumn("spot", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "p")).select("print", "spot")
     first = staged(prints.groupBy("print").agg(F.min("spot").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("print", "first"), "lines")
     # joined as it was written, so that adaptive execution can split a fingerprint that very many texts have
-    later = prints.join(first, "print").where(F.col("spot") > F.col("first"))
+    later = prints.join(first.hint("merge"), "print").where(F.col("spot") > F.col("first"))
     pair = {"doc_id": F.col("spot.doc_id"), "row_key": F.col("spot.row_key"), "first_id": F.col("first.doc_id"), "first_key": F.col("first.row_key"), "down": F.col("spot.p") - F.col("first.p")}
     met = later.select(*[c.alias(n) for n, c in pair.items()], F.col("spot.p").alias("p"))
     met = met.groupBy(*pair).agg(F.sort_array(F.collect_set("p")).alias("places"))
     texts = marks.select("doc_id", "row_key", "lines").dropDuplicates(["doc_id", "row_key"])  # a row repeated under one id counts once
-    met = met.join(texts, met["doc_id"].eqNullSafe(texts["doc_id"]) & (met["row_key"] == texts["row_key"])).select(met["doc_id"], met["row_key"], "first_id", "first_key", "down", "places", "lines")
+    met = met.join(texts.hint("merge"), met["doc_id"].eqNullSafe(texts["doc_id"]) & (met["row_key"] == texts["row_key"])).select(met["doc_id"], met["row_key"], "first_id", "first_key", "down", "places", "lines")
     other = texts.select(F.col("doc_id").alias("o_id"), F.col("row_key").alias("o_key"), F.col("lines").alias("o_lines"))
-    met = met.join(other, F.col("first_id").eqNullSafe(F.col("o_id")) & (F.col("first_key") == F.col("o_key")))
+    met = met.join(other.hint("merge"), F.col("first_id").eqNullSafe(F.col("o_id")) & (F.col("first_key") == F.col("o_key")))
     # places where the two differ, the ends of the texts included
     inside = F.sequence(F.greatest(F.lit(0), F.col("down")), F.least(F.size("lines"), F.size("o_lines") + F.col("down")) - 1)
     differ = F.filter(inside, lambda i: F.get("lines", i)["h"] != F.get("o_lines", i - F.col("down"))["h"])
@@ -106,7 +106,8 @@ def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, min_words: int | None =
     key, rid, rkey, runs, lines, keep = (unused(docs, x) for x in ("row_key", "found_id", "found_key", "runs", "all_lines", "keep"))
     found = repeated_runs(docs, min_run, min_words, span, id_col, text_col).select(F.col("doc_id").alias(rid), F.col("row_key").alias(rkey), F.col("runs").alias(runs))
     d = docs.withColumn(key, F.xxhash64(id_col, text_col))
-    d = d.join(found, (d[key] == found[rkey]) & d[id_col].eqNullSafe(found[rid]), "left")
+    # a merge join at every size: what is found grows with the texts, so work stays in proportion
+    d = d.join(found.hint("merge"), (d[key] == found[rkey]) & d[id_col].eqNullSafe(found[rid]), "left")
     d = d.withColumn(lines, F.when(F.col(runs).isNotNull(), F.split(F.col(text_col).cast("string"), "\n", -1)))
     stays = lambda x, i: (_blank_trimmed(x) == "") | ~F.exists(runs, lambda r: (r["a"] <= i) & (i <= r["b"]))
     d = d.withColumn(keep, F.filter(lines, stays))
