@@ -55,10 +55,10 @@ SQL: dict[str, tuple[str, str | None]] = {
     "match_full": ("SELECT l_linenumber, count(*) AS n FROM lineitem WHERE (nullif(l_linenumber, 3), nullif(l_linenumber, 3)) MATCH FULL (SELECT n_nationkey, n_nationkey FROM nation WHERE n_nationkey < 3) GROUP BY l_linenumber", "SELECT l_linenumber, count(*) AS n FROM lineitem WHERE l_linenumber IN (1, 2, 3) GROUP BY 1"),
     "match_unique": ("SELECT n_nationkey FROM nation WHERE n_regionkey MATCH UNIQUE (SELECT n_regionkey FROM nation WHERE n_nationkey < 7)", "SELECT n_nationkey FROM nation WHERE n_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey < 7 GROUP BY 1 HAVING count(*) = 1)"),
     "unique_pred": ("SELECT r_regionkey FROM region WHERE UNIQUE (SELECT n_name FROM nation) AND NOT UNIQUE (SELECT n_regionkey FROM nation)", "SELECT r_regionkey FROM region"),
-    "scalar_subquery": ("SELECT p_partkey, CASE p_retailprice WHEN (SELECT max(p_retailprice) FROM part) THEN 'MOST' WHEN (SELECT min(p_retailprice) FROM part) THEN 'LEAST' ELSE 'BETWEEN' END AS extremity FROM part", None),
+    "scalar_subquery": ("SELECT s_suppkey, s_acctbal - (SELECT avg(c_acctbal) FROM customer) AS above_customers, (SELECT count(*) FROM region) * 10 AS scaled FROM supplier WHERE s_acctbal > (SELECT min(c_acctbal) FROM customer) + 500", None),
     "correlated_max": ("SELECT c_custkey, c_nationkey FROM customer a WHERE c_acctbal = (SELECT max(c_acctbal) FROM customer WHERE c_nationkey = a.c_nationkey)", "SELECT c_custkey, c_nationkey FROM customer a WHERE c_acctbal = (SELECT max(b.c_acctbal) FROM customer b WHERE b.c_nationkey = a.c_nationkey)"),
-    "correlated_two_levels": ("SELECT a.p_partkey, a.p_brand FROM part a WHERE a.p_partkey = (SELECT min(p_partkey) FROM part WHERE p_brand = a.p_brand AND p_retailprice = (SELECT max(p_retailprice) FROM part WHERE p_brand = a.p_brand))", "SELECT a.p_partkey, a.p_brand FROM part a WHERE a.p_partkey = (SELECT min(b.p_partkey) FROM part b WHERE b.p_brand = a.p_brand AND b.p_retailprice = (SELECT max(c.p_retailprice) FROM part c WHERE c.p_brand = b.p_brand))"),
-    "correlated_count": ("SELECT p_partkey FROM part WHERE p_size NOT IN (SELECT p_size FROM part i WHERE (SELECT count(*) FROM part j WHERE i.p_size = j.p_size) > 40)", None),
+    "correlated_two_levels": ("SELECT o.o_orderkey, o.o_custkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity = (SELECT max(l_quantity) FROM lineitem WHERE l_orderkey = o.o_orderkey) AND l.l_returnflag = 'R')", "SELECT o.o_orderkey, o.o_custkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R' AND l.l_quantity = (SELECT max(m.l_quantity) FROM lineitem m WHERE m.l_orderkey = l.l_orderkey))"),
+    "correlated_count": ("SELECT s_suppkey, s_nationkey FROM supplier s WHERE (SELECT count(*) FROM customer WHERE c_nationkey = s.s_nationkey AND c_acctbal < 0) >= 2", None),
     # joins
     "join_comma": ("SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey", None),
     "join_inner_on": ("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 450000", None),
@@ -88,7 +88,8 @@ SQL: dict[str, tuple[str, str | None]] = {
     "agg_min_max_string_date": ("SELECT min(o_orderdate) AS d0, max(o_orderdate) AS d1, min(o_orderpriority) AS p0, max(o_orderpriority) AS p1 FROM orders", None),
     "agg_expression": ("SELECT l_returnflag, ROUND(sum(l_extendedprice * (1 - l_discount)) / count(*), 4) AS each_ FROM lineitem GROUP BY l_returnflag", None),
     "agg_any_column": ("SELECT n_regionkey, r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY n_regionkey HAVING count(*) > 1", "SELECT n_regionkey, any_value(r_name) AS r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY n_regionkey HAVING count(*) > 1"),
-    "agg_minus_correlated": ("SELECT a.c_nationkey, count(*) - (SELECT count(*) FROM supplier b WHERE b.s_nationkey = a.c_nationkey) AS d FROM customer a GROUP BY a.c_nationkey", None),
+    "agg_minus_correlated": ("SELECT o_orderpriority, max(o_totalprice) + (SELECT count(*) FROM nation) AS shifted, count(*) AS n FROM orders GROUP BY o_orderpriority HAVING max(o_totalprice) > (SELECT avg(o_totalprice) FROM orders)", None),
+    "agg_beside_correlated": ("SELECT t.l_linenumber, sum(t.l_quantity) * (SELECT count(*) FROM region r WHERE r.r_regionkey < t.l_linenumber) AS weighted FROM lineitem t GROUP BY t.l_linenumber", None),
     "agg_null_group": ("SELECT nullif(l_linenumber, 3) AS k, count(*) AS n FROM lineitem GROUP BY nullif(l_linenumber, 3)", None),
     # order
     "sort_nulls": ("SELECT nullif(l_linenumber, 3) AS k, count(*) AS n FROM lineitem GROUP BY nullif(l_linenumber, 3) ORDER BY k DESC", None),
@@ -115,11 +116,15 @@ SQL: dict[str, tuple[str, str | None]] = {
     "fn_concat": ("SELECT n_name || ':' || CAST(n_nationkey AS VARCHAR(10)) AS a, n_name || NULL AS b FROM nation", None),
     "fn_cast": ("SELECT CAST(l_quantity AS INTEGER) AS a, CAST(l_linenumber AS VARCHAR(8)) AS b, CAST('2001-02-03' AS DATE) AS c, CAST(l_linenumber AS DOUBLE PRECISION) AS d FROM lineitem", None),
     "fn_cast_char": ("SELECT CAST(n_name AS CHAR(12)) || '.' AS a FROM nation", "SELECT rpad(n_name, 12, ' ') || '.' AS a FROM nation"),
-    "fn_case_searched": ("SELECT p_partkey, CASE WHEN p_retailprice < 1000 THEN 'LOW' WHEN p_retailprice > 1500 THEN 'HIGH' END AS band FROM part", None),
+    "fn_case_searched": ("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_totalprice > 100000 THEN o_custkey WHEN o_orderstatus IN ('O', 'P') THEN -o_custkey END AS signed FROM orders", None),
     "fn_case_simple": ("SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'zero' WHEN 1 THEN 'one' ELSE 'more' END AS x FROM nation", None),
     "fn_nullif": ("SELECT n_nationkey, NULLIF(n_regionkey, 2) AS x FROM nation", None),
     "fn_coalesce": ("SELECT n_nationkey, COALESCE(NULLIF(n_regionkey, 2), n_nationkey * 100) AS x FROM nation", None),
     "fn_blob": ("SELECT OCTET_LENGTH(X'FF0000AABB') AS n, X'3D' || X'A7' = X'3DA7' AS same FROM region WHERE r_regionkey = 0", "SELECT 5 AS n, true AS same"),
+    "fn_overlaps": ("SELECT o_orderkey FROM orders WHERE (CAST(o_orderdate AS DATE), DATE '1996-06-30') OVERLAPS (DATE '1996-03-01', DATE '1996-04-01')", "SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) < DATE '1996-04-01' AND DATE '1996-06-30' > DATE '1996-03-01'"),
+    "quant_row_gt_any": ("SELECT n_nationkey FROM nation WHERE (n_regionkey, n_nationkey) > ANY (SELECT r_regionkey, r_regionkey * 3 FROM region WHERE r_regionkey > 1)", "SELECT n_nationkey FROM nation WHERE n_regionkey > 2 OR n_regionkey = 2 AND n_nationkey > 6"),
+    "quant_row_le_all": ("SELECT s_suppkey FROM supplier WHERE (s_nationkey, s_suppkey) <= ALL (SELECT n_nationkey, n_nationkey * 2 FROM nation WHERE n_regionkey = 4)", "SELECT s_suppkey FROM supplier WHERE s_nationkey < 4 OR s_nationkey = 4 AND s_suppkey <= 8"),
+    "derived_correlated_values": ("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = (SELECT v FROM (VALUES (nation.n_nationkey)) AS one(v))", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = n_nationkey"),
     "literals_temporal": ("SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01 00:00:00' AND CAST(o_orderdate AS DATE) < DATE '1997-02-01'", None),
     "fn_user_session": ("SELECT CURRENT_USER AS u, CURRENT_SCHEMA AS s, CURRENT_CATALOG AS c FROM region WHERE r_regionkey = 1", "SELECT 'DEFAULT' AS u, 'DEFAULT_SCHEMA' AS s, 'DB1' AS c"),
 }
@@ -140,6 +145,15 @@ SCRIPTED: dict[str, tuple[str, str, str]] = {
     "psm_loop": ("CREATE TABLE t (n INTEGER); CREATE PROCEDURE fill(IN top INTEGER) BEGIN DECLARE i INTEGER DEFAULT 0; WHILE i < top DO SET i = i + 1; IF i <> 2 THEN INSERT INTO t VALUES (i); END IF; END WHILE; END; CALL fill(4)", "SELECT n FROM t", "SELECT * FROM (VALUES (1), (3), (4)) AS v(n)"),
     "psm_cursor": ("CREATE TABLE t (n INTEGER, name VARCHAR(25)); CREATE PROCEDURE copy_regions() BEGIN DECLARE k INTEGER; DECLARE name VARCHAR(25); DECLARE c CURSOR FOR SELECT r_regionkey, r_name FROM region ORDER BY r_regionkey; OPEN c; FETCH c INTO k, name; WHILE SQLSTATE <> '02000' DO INSERT INTO t VALUES (k * 10, name); FETCH c INTO k, name; END WHILE; CLOSE c; END; CALL copy_regions()", "SELECT n, name FROM t", "SELECT r_regionkey * 10 AS n, r_name AS name FROM region"),
     "sequences": ("CREATE SEQUENCE s STARTING AT 5; CREATE TABLE t (n INTEGER); INSERT INTO t VALUES (NEXT_SEQUENCE(s)), (NEXT_SEQUENCE(s)); INSERT INTO t VALUES (LATEST_SEQUENCE(s))", "SELECT n FROM t", "SELECT * FROM (VALUES (5), (6), (6)) AS v(n)"),
+    "sequence_per_row": ("CREATE SEQUENCE q STARTING AT 100; CREATE TABLE t (k INTEGER PRIMARY KEY, seen INTEGER); INSERT INTO t SELECT NEXT_SEQUENCE(q), l_linenumber FROM lineitem", "SELECT count(*) AS n, count(DISTINCT k) AS keys, min(k) AS lo, max(k) AS hi, CAST(sum(seen) AS BIGINT) AS total FROM t", "SELECT count(*) AS n, count(*) AS keys, 100 AS lo, CAST(99 + count(*) AS INTEGER) AS hi, CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem"),
+    "sequence_default": ("CREATE SEQUENCE q STARTING AT 1; CREATE TABLE t (k INTEGER DEFAULT NEXT_SEQUENCE(q), name VARCHAR(25)); INSERT INTO t (name) SELECT n_name FROM nation; INSERT INTO t (name) VALUES ('last')", "SELECT count(DISTINCT k) AS keys, max(k) AS hi, count(name) AS n FROM t", "SELECT count(*) + 1 AS keys, CAST(count(*) + 1 AS INTEGER) AS hi, count(*) + 1 AS n FROM nation"),
+    "udf_body": ("CREATE FUNCTION graded(price DOUBLE PRECISION, size_ INTEGER) RETURNS INTEGER BEGIN DECLARE step INTEGER DEFAULT 10; DECLARE out_ INTEGER; IF size_ > 25 THEN SET step = step * 2; ELSEIF size_ < 5 THEN RETURN 0; END IF; SET out_ = CAST(price AS INTEGER) / step; CASE WHEN out_ > 90 THEN RETURN 90; ELSE SET out_ = out_ + 1; END CASE; RETURN out_; END", "SELECT p_partkey, graded(p_retailprice, p_size) AS g FROM part", "SELECT p_partkey, CAST(CASE WHEN p_size < 5 THEN 0 WHEN q > 90 THEN 90 ELSE q + 1 END AS INTEGER) AS g FROM (SELECT *, CAST(trunc(trunc(p_retailprice) / CASE WHEN p_size > 25 THEN 20.0 ELSE 10.0 END) AS INTEGER) AS q FROM part)"),
+    "grants_by_column": ("CREATE USER ann; GRANT SELECT (n_nationkey, n_name) ON nation TO ann; CONNECT TO 'db' USER 'ann'", "SELECT * FROM nation", "SELECT n_name, n_nationkey FROM nation"),
+    "select_into": ("CREATE TABLE t (n INTEGER, name VARCHAR(25)); CREATE PROCEDURE pick(IN k INTEGER) BEGIN DECLARE r INTEGER; DECLARE x VARCHAR(25); SELECT n_regionkey, n_name INTO r, x FROM nation WHERE n_nationkey = k; INSERT INTO t VALUES (r, x); END; CALL pick(7); CALL pick(12)", "SELECT n, name FROM t", "SELECT n_regionkey AS n, n_name AS name FROM nation WHERE n_nationkey IN (7, 12)"),
+    "cursor_scroll": ("CREATE TABLE t (n INTEGER); CREATE PROCEDURE ends() BEGIN DECLARE k INTEGER; DECLARE c SCROLL CURSOR FOR SELECT s_suppkey FROM supplier ORDER BY s_suppkey; OPEN c; FETCH LAST FROM c INTO k; INSERT INTO t VALUES (k); FETCH FIRST FROM c INTO k; INSERT INTO t VALUES (k); FETCH ABSOLUTE 3 FROM c INTO k; INSERT INTO t VALUES (k); FETCH PRIOR FROM c INTO k; INSERT INTO t VALUES (k); CLOSE c; END; CALL ends()", "SELECT n FROM t", "SELECT max(s_suppkey) AS n FROM supplier UNION ALL SELECT min(s_suppkey) FROM supplier UNION ALL (SELECT s_suppkey FROM supplier ORDER BY s_suppkey LIMIT 1 OFFSET 2) UNION ALL (SELECT s_suppkey FROM supplier ORDER BY s_suppkey LIMIT 1 OFFSET 1)"),
+    "deferred_constraint": ("CREATE TABLE p (id INTEGER PRIMARY KEY); CREATE TABLE c (id INTEGER, pid INTEGER CONSTRAINT later REFERENCES p (id) DEFERRABLE INITIALLY DEFERRED); INSERT INTO c SELECT n_nationkey, n_regionkey FROM nation; INSERT INTO p SELECT r_regionkey FROM region; SET CONSTRAINTS ALL IMMEDIATE; COMMIT", "SELECT id, pid FROM c", "SELECT n_nationkey AS id, n_regionkey AS pid FROM nation"),
+    "information_schema_keys": ("CREATE TABLE p (id INTEGER PRIMARY KEY, code INTEGER UNIQUE); CREATE TABLE c (pid INTEGER CONSTRAINT up REFERENCES p (id) ON DELETE CASCADE)", "SELECT constraint_name, table_name, constraint_type FROM INFORMATION_SCHEMA.table_constraints", "SELECT * FROM (VALUES ('p_pk_1', 'p', 'PRIMARY KEY'), ('p_unique_2', 'p', 'UNIQUE'), ('up', 'c', 'FOREIGN KEY')) AS v(constraint_name, table_name, constraint_type)"),
+    "system_tables": ("CREATE TABLE p (id INTEGER PRIMARY KEY); CREATE TABLE c (pid INTEGER CONSTRAINT up REFERENCES p (id) ON DELETE CASCADE)", "SELECT constraint_name, parent_or_child_table, table_name, column_name, FK_on_delete_action FROM (CATALOG_DEFINITION_SCHEMA.sysConstraint NATURAL JOIN CATALOG_DEFINITION_SCHEMA.sysConstraintColumn) JOIN (SELECT column_id, table_id, column_name FROM CATALOG_DEFINITION_SCHEMA.sysColumn) AS l USING (column_id) JOIN (SELECT table_id, table_name FROM CATALOG_DEFINITION_SCHEMA.sysTable) AS t USING (table_id) WHERE rule_type = 'FOREIGN KEY'", "SELECT * FROM (VALUES ('up', 'C', 'C', 'PID', 1), ('up', 'P', 'P', 'ID', 1)) AS v(constraint_name, parent_or_child_table, table_name, column_name, FK_on_delete_action)"),
     "domains": ("CREATE DOMAIN small AS INTEGER DEFAULT 3 CHECK (VALUE < 10); CREATE TABLE t (a small, b INTEGER); INSERT INTO t (b) VALUES (1), (2)", "SELECT a, b FROM t", "SELECT * FROM (VALUES (3, 1), (3, 2)) AS v(a, b)"),
     "information_schema": ("CREATE TABLE t (a INTEGER NOT NULL PRIMARY KEY, b VARCHAR(9))", "SELECT table_name, column_name, ordinal_position, is_nullable, data_type FROM INFORMATION_SCHEMA.columns WHERE table_name = 't'", "SELECT * FROM (VALUES ('t', 'a', 1, 'NO', 'INTEGER'), ('t', 'b', 2, 'YES', 'CHARACTER VARYING')) AS v(table_name, column_name, ordinal_position, is_nullable, data_type)"),
 }
@@ -187,10 +201,15 @@ def _scripted(script, text):
     return run
 
 
-QUERIES = {"flagship": flagship, "fk_orphans": _fk_orphans, "check_violations": _check_violations, "unique_violations": _unique_violations}
+def _parameters(spark: SparkSession, folder: str) -> DataFrame:
+    return Session(spark).load(folder).execute("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = ? AND o_totalprice > ?", ("F", 200000))
+
+
+QUERIES = {"parameters": _parameters, "flagship": flagship, "fk_orphans": _fk_orphans, "check_violations": _check_violations, "unique_violations": _unique_violations}
 QUERIES |= {n: _sql(a) for n, (a, _) in SQL.items()} | {n: _scripted(a, b) for n, (a, b, _) in SCRIPTED.items()}
 
 ORACLES = {
+    "parameters": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000",
     "flagship": FLAGSHIP,
     "fk_orphans": "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT r_regionkey FROM region)",
     "check_violations": "SELECT p_partkey, p_size FROM part WHERE NOT (nullif(p_size, 7) < 40)",

@@ -159,6 +159,9 @@ class Session(Routines):
             df = t.df if seen is None else t.df.select(*[quote(_named(t, c)) for c in seen])
             if seen is not None:
                 name += "_" + "_".join(seen)
+        return self._named_view(name, df)
+
+    def _named_view(self, name: str, df: DataFrame) -> str:
         key = f"{name}_{id(df)}"
         if key not in self.known:
             self.known[key] = f"{self.prefix}{len(self.known)}"
@@ -421,7 +424,7 @@ class Session(Routines):
         t = self.table(name)
         self._allow("DELETE", t.name.lower(), t.owner)
         where = f"({self.renderer.expr(cond)}) IS TRUE" if cond is not None else "TRUE"
-        wide = store.settle(self.spark.sql(f"SELECT *, {where} AS `_hit` FROM {self._view((t.name,))} AS {quote(t.name)}"), t.name.lower())
+        wide = store.settle(self.spark.sql(f"SELECT *, {where} AS `_hit` FROM {self._named_view(t.name, t.df)} AS {quote(t.name)}"), t.name.lower())
         n = wide.where("_hit").count()
         self._change(t.name.lower(), wide.select(F.struct(*map(quote, t.df.columns)).alias("old"), F.when(~F.col("_hit"), F.struct(*map(quote, t.df.columns))).alias("new")))
         self._check(self.touched)
@@ -439,7 +442,7 @@ class Session(Routines):
         old = f"named_struct({', '.join(f'{string(c)}, {quote(c)}' for c in kinds)})"
         # values are computed from the row, only where it is hit
         nexts = ", ".join(f"CASE WHEN `_hit` THEN CAST({v} AS {kinds[c]}) END AS {quote('_n_' + c)}" for c, v in values.items())
-        marked = f"SELECT *, {where} AS `_hit` FROM {self._view((t.name,))} AS {quote(t.name)}"
+        marked = f"SELECT *, {where} AS `_hit` FROM {self._named_view(t.name, t.df)} AS {quote(t.name)}"
         wide = self.spark.sql(f"SELECT *, {nexts}, {old} AS `_old` FROM ({marked}) AS {quote(t.name)}")
         new = F.struct(*[F.when(F.col("_hit"), F.col(quote("_n_" + c))).otherwise(F.col(quote(c))).alias(c) if c in values else F.col(quote(c)) for c in kinds])
         wide = store.settle(wide.select(F.col("_hit"), F.col("_old").alias("old"), new.alias("new")), t.name.lower())

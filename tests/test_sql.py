@@ -230,10 +230,16 @@ def test_functions_and_procedures(s):
     assert s._variable("t")[1] == 6 and results[0].count() == 3
 
 
-def test_endless_loop_is_stopped(s):
-    s.execute("CREATE FUNCTION forever() RETURNS INTEGER BEGIN DECLARE b INTEGER DEFAULT 0; LOOP SET b = b + 1; END LOOP; END")
+def test_a_loop_without_progress_is_stopped(s):
+    s.execute("CREATE PROCEDURE idle() BEGIN DECLARE n INTEGER DEFAULT 4; WHILE n > 1 DO SET n = 4; END WHILE; END")
     with pytest.raises(SqlError):
-        s.query("VALUES (forever())")
+        s.execute("CALL idle()")
+
+
+def test_a_long_loop_ends(s):
+    s.execute("CREATE FUNCTION total(top INTEGER) RETURNS INTEGER BEGIN DECLARE i INTEGER DEFAULT 0; DECLARE t INTEGER DEFAULT 0; REPEAT SET i = i + 1; SET t = t + i; UNTIL i >= top END REPEAT; RETURN t; END")
+    assert s.query("VALUES (total(12000))").first()[0] == 12000 * 12001 // 2
+    assert rows(s.query("SELECT total(id) FROM parent")) == [(1,), (3,), (6,)]
 
 
 def test_scrolling_cursor_and_labels(s):
@@ -280,3 +286,94 @@ def test_whole_tables_are_compared(spark):
     for name, rows in whole.items():
         n = con.execute(f"SELECT count(*) FROM {rows}").fetchone()[0]
         assert QUERIES[name](spark, folder).count() == n == len(con.execute(ORACLES[name]).fetchall()), name
+
+
+def test_privileges_hold(s):
+    s.run_script("CREATE USER bob PASSWORD 'x'; CREATE USER eve; CREATE TABLE pay (who INTEGER, sum_ INTEGER); INSERT INTO pay VALUES (1, 9); GRANT SELECT (who), UPDATE (who) ON pay TO bob; COMMIT")
+    for wrong in ("CONNECT TO 'db' USER 'bob'", "CONNECT TO 'db' USER 'bob' PASSWORD 'y'", "CONNECT TO 'db' USER 'nobody'"):
+        with pytest.raises(SqlError):
+            s.execute(wrong)
+    s.execute("CONNECT TO 'db' USER 'bob' PASSWORD 'x'")
+    assert rows(s.query("SELECT who FROM pay")) == [(1,)]
+    for refused in ("SELECT sum_ FROM pay", "UPDATE pay SET sum_ = 1", "DELETE FROM pay", "INSERT INTO pay VALUES (1, 1)", "GRANT DELETE ON pay TO bob", "GRANT SELECT (who) ON pay TO eve", "DROP TABLE pay", "ALTER TABLE pay ADD COLUMN z INTEGER", "CREATE USER mal", "ALTER USER eve SET PASSWORD 'z'"):
+        with pytest.raises(Exception):
+            out = s.execute(refused)
+            if out is not None and not isinstance(out, int):
+                out.collect()
+    s.execute("UPDATE pay SET who = 5")
+    s.execute("ALTER USER bob SET PASSWORD 'new'")
+    s.run_script("COMMIT; DISCONNECT; GRANT SELECT ON pay TO bob WITH GRANT OPTION; CONNECT TO 'db' USER 'bob' PASSWORD 'new'; GRANT SELECT ON pay TO eve; COMMIT; CONNECT TO 'db' USER 'eve'")
+    assert s.query("SELECT sum_ FROM pay").count() == 1
+    s.execute("DISCONNECT")
+    with pytest.raises(SqlError):
+        s.execute("REVOKE SELECT ON pay FROM bob RESTRICT")
+    s.run_script("REVOKE SELECT ON pay FROM bob CASCADE; CONNECT TO 'db' USER 'eve'")
+    with pytest.raises(SqlError):
+        s.query("SELECT who FROM pay")
+
+
+def test_catalogs(s):
+    s.run_script("CREATE CATALOG other; COMMIT")
+    assert s.query("SELECT * FROM parent").count() == 3
+    s.run_script("OPEN CATALOG other; CREATE TABLE only_here (a INTEGER); INSERT INTO only_here VALUES (1)")
+    with pytest.raises(SqlError):
+        s.query("SELECT * FROM parent")
+    s.execute("CLOSE CATALOG other")
+    assert s.query("SELECT * FROM parent").count() == 3 and s.query("SELECT * FROM other.s.only_here").count() == 1
+    s.execute("DROP CATALOG other")
+    with pytest.raises(SqlError):
+        s.query("SELECT * FROM other.s.only_here")
+
+
+def test_sequences_draw_for_each_row(s):
+    s.run_script("CREATE SEQUENCE q STARTING AT 7")
+    s.explain("SELECT NEXT_SEQUENCE(q) FROM parent")
+    assert rows(s.query("SELECT NEXT_SEQUENCE(q) * 10 + 0 AS a FROM parent")) == [(70,), (80,), (90,)]
+    assert len({x for r in s.query("SELECT NEXT_SEQUENCE(q), NEXT_SEQUENCE(q), LATEST_SEQUENCE(q) FROM parent").collect() for x in r}) == 6
+    assert s.query("VALUES (NEXT_SEQUENCE(q))").first()[0] == 16
+
+
+def test_plans_without_nested_loops(spark):
+    """NOT IN and MATCH PARTIAL neither broadcast nor loop once Spark may not broadcast by size."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("anti_not_in", "anti_not_in_subset", "anti_not_in_null", "match_partial", "match_unique"):
+            plan = Q.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+            assert "Broadcast" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan, name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_inserts_append_parts(s):
+    for i in range(5):
+        s.execute(f"INSERT INTO parent (id) VALUES ({100 + i})")
+    assert len(s.table("parent").parts) >= 5 and s.query("SELECT * FROM parent").count() == 8
+    with pytest.raises(SqlError):
+        s.execute("INSERT INTO parent (id) VALUES (101)")
+    s.execute("GARBAGE COLLECT CATALOG db1")
+    assert len(s.table("parent").parts) == 1 and s.query("SELECT * FROM parent").count() == 8
+
+
+def test_administration(s):
+    s.run_script("CREATE INDEX by_id ON parent (id); REBUILD INDEX by_id; CANCEL; KILL 3")
+    assert s.query("SELECT * FROM parent").count() == 3
+    for name in "sysCatalog sysSchema sysAuth sysTable sysColumn sysConstraint sysConstraintColumn sysDomain sysIndex sysIndexColumn sysRoutine sysGenerator sysTablePrivilege sysTableColumnPrivilege sysTransaction sysServer sysStatus".split():
+        assert s.query(f"SELECT * FROM CATALOG_DEFINITION_SCHEMA.{name}").columns
+    s.execute("SHUTDOWN")
+
+
+def test_client(spark):
+    from tessera import client
+
+    with client.connect(spark, DATA) as con:
+        cur = con.cursor().execute("SELECT r_regionkey, r_name FROM region WHERE r_regionkey > ? ORDER BY 1", (2,))
+        assert [d[0] for d in cur.description] == ["r_regionkey", "r_name"]
+        assert cur.fetchone()[0] == 3 and len(cur.fetchmany(5)) == 1 and cur.fetchone() is None
+        cur.execute("CREATE TABLE t (a INTEGER, b VARCHAR(9))")
+        assert cur.executemany("INSERT INTO t VALUES (?, ?)", [(1, "x"), (2, None)]).rowcount == 2
+        assert sorted(cur.execute("SELECT a, b FROM t")) == [(1, "x"), (2, None)]
+        cur.execute("CREATE PROCEDURE both(IN n INTEGER) BEGIN DECLARE c CURSOR WITH RETURN FOR SELECT a FROM t WHERE a >= n; OPEN c; END")
+        cur.callproc("both", (2,))
+        assert cur.fetchall() == [(2,)] and cur.nextset() is None
+    with pytest.raises(SqlError):
+        con.cursor()
