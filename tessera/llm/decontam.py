@@ -159,7 +159,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_cha
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a test item; all columns. Further
-    benchmark blocks filter what earlier ones kept, within the same tasks."""
+    benchmark blocks filter what earlier ones kept, within the same tasks.
+
+    Null, empty and wordless texts stay, as nothing matches them; texts are
+    searched whole, however long; equal rows share their fate; null items and ids
+    of ``benchmark`` are left out; an empty benchmark keeps all rows and an empty
+    ``docs`` gives an empty result."""
     at = docs.columns.index(text_col)
     for block in blocks(benchmark, block_chars):
         held = docs.sparkSession.sparkContext.broadcast(block)

@@ -6,6 +6,7 @@ from test_simhash import similar, slow_components, words_set
 from test_texts import slow_distance
 
 import numpy as np
+from pyspark.sql import functions as F
 from tessera.llm import decontam, toxicity
 from tessera.llm.common import table
 
@@ -53,3 +54,19 @@ def test_stages_follow_the_plain_versions(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and "bin_id" in out.columns
+
+
+def test_stages_on_odd_input(spark, odd):
+    """Nulls, empty and long texts, repeated rows, clashing columns, empty tables."""
+    names = ["label", "runs", "gone", "fp", "row_key", "score", "component_id", "lines_gone"]
+    docs = odd.withColumns({n: F.lit(n) for n in names})
+    for frame, n in ((docs, 10), (docs.limit(0), 0)):
+        got = {name: stage(spark, frame, SF) for name, stage in corpus_pipeline.STAGES}
+        for name, out in got.items():
+            rows = out.collect()
+            if name != "packing":
+                assert out.columns == frame.columns and all(r[c] == c for r in rows for c in names)
+            assert len(rows) <= 60 and (n or not rows)
+        if n:
+            assert got["toxicity"].count() == got["decontamination"].count() == got["line_dedup"].count() == 10
+            assert sorted(r.doc_id for r in got["near_dedup"].collect() if r.doc_id) == [1, 3, 5, 5, 7]
