@@ -828,7 +828,8 @@ class Session(Routines):
         store.backup({n: t.df for n, t in self.everything().items()}, folder)
 
     def do_cancel(self, _):
-        """Stops the Spark jobs of this session's statements."""
+        """Stops the Spark jobs that run now; a number names no single one, as
+        one session runs one statement at a time."""
         self.spark.sparkContext.cancelAllJobs()
 
     do_kill = do_cancel

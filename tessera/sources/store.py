@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _temporary: dict[str, str] = {}
+_written: dict = {}  # table versions in a named folder, and the context that wrote each
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,11 +33,24 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes a table version and reads it back, which ends its lineage."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _written:
+        atexit.register(_clear)
+    _written[path] = df.sparkSession.sparkContext
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._settled_at = path
     return out
 
 
+def _clear() -> None:
+    """At the driver's end: versions live as long as the sessions that made them."""
+    for path, sc in _written.items():
+        try:
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the JVM is gone
+            return
+
+
 def path_of(df: DataFrame) -> str:
     """Where ``settle`` wrote a table version."""
     return df._settled_at
