@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 3
                 x = [log1p(max(0.0, lex.strength(t, a))) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), b.column("label")], names=["x", "label"])
 
-        got = s.mapInArrow(strengths, "x double, label int").orderBy("x", "label").toArrow()
+        got = s.mapInArrow(strengths, "x double, label int").toArrow().sort_by([("x", "ascending"), ("label", "ascending")])  # of the sample
     finally:
         s.unpersist()
     y = got["label"].to_pylist()
