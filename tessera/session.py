@@ -99,6 +99,8 @@ class Session(Routines):
         self.known: dict[int, str] = {}
         self.renderer = Renderer(self._columns, self._view, self._resolve, compat, self._domain, literal)
 
+        self.renderer.storage = self._storage
+
     # --------------------------------------------------------------- catalog
     def load(self, folder: str, names=TABLES) -> Session:
         """Makes ``folder/name.parquet`` known for each name; a file is opened when a statement names its table."""
@@ -172,6 +174,12 @@ class Session(Routines):
     def _columns(self, sql: str) -> list[str]:
         return self.spark.sql(sql).columns
 
+    def _storage(self, sql: str) -> list[str]:
+        """How the older engine stores each column: integers, other numbers by
+        kind, text, days, moments and bytes apart."""
+        whole = {"tinyint": "integer", "smallint": "integer", "int": "integer", "bigint": "big integer", "float": "float", "double": "float"}
+        return [whole.get(k, "decimal" if k.startswith("decimal") else "text" if k.startswith("string") else k) for _, k in self.spark.sql(sql).dtypes]
+
     def _domain(self, parts):
         d = self.now.domains.get(parts[-1].lower())
         if d is None:

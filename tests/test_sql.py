@@ -258,6 +258,10 @@ def test_compat_habits(spark):
     assert s.query("SELECT count(n) AS k, count(*) AS m FROM t").first()[:] == (3, 3)
     assert s.query("SELECT c FROM t WHERE c LIKE 'r%'").count() == 2
     assert s.query("SELECT 1 AS x FROM t WHERE n = 1 AND (1, 2) < (1, 3)").count() == 0
+    assert s.query("SELECT n FROM t UNION SELECT n + 1 FROM t").count() == 4
+    with pytest.raises(SqlError):
+        s.query("SELECT n FROM t UNION SELECT CAST(n AS FLOAT) FROM t")
+    assert Session(spark).query("VALUES (1) UNION ALL VALUES (2.5)").count() == 2
 
 
 def test_backup(s, tmp_path):
