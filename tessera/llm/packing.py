@@ -157,14 +157,14 @@ def pack(docs: DataFrame, length=None, sizes: tuple[int, ...] = SIZES, overhead:
     times = docs.groupBy(F.col(id_col).alias("doc_id")).agg(F.count(F.lit(1)).alias("times"))
     # at most a row for each ``shard_pieces`` rows of the input
     many = times.where(F.col("times") > shard_pieces).select(F.col("doc_id").alias("many_id"), F.ceil(F.col("times") / F.lit(shard_pieces)).alias("parts"))
-    counted = many.agg(F.count(F.lit(1)).alias("n")).crossJoin(docs.agg(F.count(F.lit(1)).alias("rows"))).first()
-    src = docs.select(F.col(id_col).alias("doc_id"), n.alias("n"), F.lit(0).cast("long").alias("part") if not counted["n"] else F.monotonically_increasing_id().alias("part"))
-    if counted["n"]:
+    rows, spread = docs.count(), not many.isEmpty()
+    src = docs.select(F.col(id_col).alias("doc_id"), n.alias("n"), F.monotonically_increasing_id().alias("part") if spread else F.lit(0).cast("long").alias("part"))
+    if spread:
         src = src.join(F.broadcast(many), F.col("doc_id").eqNullSafe(F.col("many_id")), "left")
         src = src.select("doc_id", "n", F.coalesce(F.pmod(F.xxhash64("part"), F.col("parts")), F.lit(0)).alias("part"))
     cut = src.select("doc_id", "n", "part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / most).cast("long") - 1))).alias("piece"))
     cut = cut.select("doc_id", "part", "piece", (F.col("piece") * most).alias("first_token"), F.least(F.lit(most), F.col("n") - F.col("piece") * most).cast("long").alias("n_tokens"))
-    shards = max(1, -(-counted["rows"] // shard_pieces))
+    shards = max(1, -(-rows // shard_pieces))
     dealt = cut.select(F.pmod(F.xxhash64("doc_id", "piece", "part"), F.lit(shards)).alias("shard"), "doc_id", "piece", "first_token", "n_tokens")
     dealt = dealt.repartition(min(shards, MOST_TASKS), "shard").sortWithinPartitions("shard", F.col("n_tokens").desc(), "doc_id", "piece")
     kind = dealt.schema["doc_id"].dataType.simpleString()
