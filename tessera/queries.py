@@ -55,7 +55,7 @@ SQL: dict[str, tuple[str, str | None]] = {
     "match_full": ("SELECT l_linenumber, count(*) AS n FROM lineitem WHERE (nullif(l_linenumber, 3), nullif(l_linenumber, 3)) MATCH FULL (SELECT n_nationkey, n_nationkey FROM nation WHERE n_nationkey < 3) GROUP BY l_linenumber", "SELECT l_linenumber, count(*) AS n FROM lineitem WHERE l_linenumber IN (1, 2, 3) GROUP BY 1"),
     "match_unique": ("SELECT n_nationkey FROM nation WHERE n_regionkey MATCH UNIQUE (SELECT n_regionkey FROM nation WHERE n_nationkey < 7)", "SELECT n_nationkey FROM nation WHERE n_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey < 7 GROUP BY 1 HAVING count(*) = 1)"),
     "unique_pred": ("SELECT r_regionkey FROM region WHERE UNIQUE (SELECT n_name FROM nation) AND NOT UNIQUE (SELECT n_regionkey FROM nation)", "SELECT r_regionkey FROM region"),
-    "scalar_subquery": ("SELECT s_suppkey, s_acctbal - (SELECT avg(c_acctbal) FROM customer) AS above_customers, (SELECT count(*) FROM region) * 10 AS scaled FROM supplier WHERE s_acctbal > (SELECT min(c_acctbal) FROM customer) + 500", None),
+    "scalar_subquery": ("SELECT s_suppkey, s_acctbal > (SELECT avg(c_acctbal) FROM customer) AS above_customers, (SELECT max(c_acctbal) FROM customer) AS most, (SELECT count(*) FROM region) * 10 AS scaled FROM supplier WHERE s_acctbal > (SELECT min(c_acctbal) FROM customer) + 500", None),
     "correlated_max": ("SELECT c_custkey, c_nationkey FROM customer a WHERE c_acctbal = (SELECT max(c_acctbal) FROM customer WHERE c_nationkey = a.c_nationkey)", "SELECT c_custkey, c_nationkey FROM customer a WHERE c_acctbal = (SELECT max(b.c_acctbal) FROM customer b WHERE b.c_nationkey = a.c_nationkey)"),
     "correlated_two_levels": ("SELECT o.o_orderkey, o.o_custkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity = (SELECT max(l_quantity) FROM lineitem WHERE l_orderkey = o.o_orderkey) AND l.l_returnflag = 'R')", "SELECT o.o_orderkey, o.o_custkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R' AND l.l_quantity = (SELECT max(m.l_quantity) FROM lineitem m WHERE m.l_orderkey = l.l_orderkey))"),
     "correlated_count": ("SELECT s_suppkey, s_nationkey FROM supplier s WHERE (SELECT count(*) FROM customer WHERE c_nationkey = s.s_nationkey AND c_acctbal < 0) >= 2", None),
@@ -150,7 +150,7 @@ SCRIPTED: dict[str, tuple[str, str, str]] = {
     "udf_body": ("CREATE FUNCTION graded(price DOUBLE PRECISION, size_ INTEGER) RETURNS INTEGER BEGIN DECLARE step INTEGER DEFAULT 10; DECLARE out_ INTEGER; IF size_ > 25 THEN SET step = step * 2; ELSEIF size_ < 5 THEN RETURN 0; END IF; SET out_ = CAST(price AS INTEGER) / step; CASE WHEN out_ > 90 THEN RETURN 90; ELSE SET out_ = out_ + 1; END CASE; RETURN out_; END", "SELECT p_partkey, graded(p_retailprice, p_size) AS g FROM part", "SELECT p_partkey, CAST(CASE WHEN p_size < 5 THEN 0 WHEN q > 90 THEN 90 ELSE q + 1 END AS INTEGER) AS g FROM (SELECT *, CAST(trunc(trunc(p_retailprice) / CASE WHEN p_size > 25 THEN 20.0 ELSE 10.0 END) AS INTEGER) AS q FROM part)"),
     "grants_by_column": ("CREATE USER ann; GRANT SELECT (n_nationkey, n_name) ON nation TO ann; CONNECT TO 'db' USER 'ann'", "SELECT * FROM nation", "SELECT n_name, n_nationkey FROM nation"),
     "select_into": ("CREATE TABLE t (n INTEGER, name VARCHAR(25)); CREATE PROCEDURE pick(IN k INTEGER) BEGIN DECLARE r INTEGER; DECLARE x VARCHAR(25); SELECT n_regionkey, n_name INTO r, x FROM nation WHERE n_nationkey = k; INSERT INTO t VALUES (r, x); END; CALL pick(7); CALL pick(12)", "SELECT n, name FROM t", "SELECT n_regionkey AS n, n_name AS name FROM nation WHERE n_nationkey IN (7, 12)"),
-    "cursor_scroll": ("CREATE TABLE t (n INTEGER); CREATE PROCEDURE ends() BEGIN DECLARE k INTEGER; DECLARE c SCROLL CURSOR FOR SELECT s_suppkey FROM supplier ORDER BY s_suppkey; OPEN c; FETCH LAST FROM c INTO k; INSERT INTO t VALUES (k); FETCH FIRST FROM c INTO k; INSERT INTO t VALUES (k); FETCH ABSOLUTE 3 FROM c INTO k; INSERT INTO t VALUES (k); FETCH PRIOR FROM c INTO k; INSERT INTO t VALUES (k); CLOSE c; END; CALL ends()", "SELECT n FROM t", "SELECT max(s_suppkey) AS n FROM supplier UNION ALL SELECT min(s_suppkey) FROM supplier UNION ALL (SELECT s_suppkey FROM supplier ORDER BY s_suppkey LIMIT 1 OFFSET 2) UNION ALL (SELECT s_suppkey FROM supplier ORDER BY s_suppkey LIMIT 1 OFFSET 1)"),
+    "cursor_scroll": ("CREATE TABLE t (n BIGINT); CREATE PROCEDURE ends() BEGIN DECLARE k BIGINT; DECLARE c SCROLL CURSOR FOR SELECT s_suppkey FROM supplier ORDER BY s_suppkey; OPEN c; FETCH LAST FROM c INTO k; INSERT INTO t VALUES (k); FETCH FIRST FROM c INTO k; INSERT INTO t VALUES (k); FETCH ABSOLUTE 3 FROM c INTO k; INSERT INTO t VALUES (k); FETCH PRIOR FROM c INTO k; INSERT INTO t VALUES (k); CLOSE c; END; CALL ends()", "SELECT n FROM t", "SELECT max(s_suppkey) AS n FROM supplier UNION ALL SELECT min(s_suppkey) FROM supplier UNION ALL (SELECT s_suppkey FROM supplier ORDER BY s_suppkey LIMIT 1 OFFSET 2) UNION ALL (SELECT s_suppkey FROM supplier ORDER BY s_suppkey LIMIT 1 OFFSET 1)"),
     "deferred_constraint": ("CREATE TABLE p (id INTEGER PRIMARY KEY); CREATE TABLE c (id INTEGER, pid INTEGER CONSTRAINT later REFERENCES p (id) DEFERRABLE INITIALLY DEFERRED); INSERT INTO c SELECT n_nationkey, n_regionkey FROM nation; INSERT INTO p SELECT r_regionkey FROM region; SET CONSTRAINTS ALL IMMEDIATE; COMMIT", "SELECT id, pid FROM c", "SELECT n_nationkey AS id, n_regionkey AS pid FROM nation"),
     "information_schema_keys": ("CREATE TABLE p (id INTEGER PRIMARY KEY, code INTEGER UNIQUE); CREATE TABLE c (pid INTEGER CONSTRAINT up REFERENCES p (id) ON DELETE CASCADE)", "SELECT constraint_name, table_name, constraint_type FROM INFORMATION_SCHEMA.table_constraints", "SELECT * FROM (VALUES ('p_pk_1', 'p', 'PRIMARY KEY'), ('p_unique_2', 'p', 'UNIQUE'), ('up', 'c', 'FOREIGN KEY')) AS v(constraint_name, table_name, constraint_type)"),
     "system_tables": ("CREATE TABLE p (id INTEGER PRIMARY KEY); CREATE TABLE c (pid INTEGER CONSTRAINT up REFERENCES p (id) ON DELETE CASCADE)", "SELECT constraint_name, parent_or_child_table, table_name, column_name, FK_on_delete_action FROM (CATALOG_DEFINITION_SCHEMA.sysConstraint NATURAL JOIN CATALOG_DEFINITION_SCHEMA.sysConstraintColumn) JOIN (SELECT column_id, table_id, column_name FROM CATALOG_DEFINITION_SCHEMA.sysColumn) AS l USING (column_id) JOIN (SELECT table_id, table_name FROM CATALOG_DEFINITION_SCHEMA.sysTable) AS t USING (table_id) WHERE rule_type = 'FOREIGN KEY'", "SELECT * FROM (VALUES ('up', 'C', 'C', 'PID', 1), ('up', 'P', 'P', 'ID', 1)) AS v(constraint_name, parent_or_child_table, table_name, column_name, FK_on_delete_action)"),
