@@ -4,8 +4,10 @@ Every ``length``-byte string (window) is routed by its minimizer, the 16-byte
 gram of least hash in it; windows in a row with one minimizer form a stretch.
 Equal strings have equal minimizers, so what repeats meets under one minimizer.
 Stretches travel as pairs of hashes first: of equal stretches only the one of the
-smallest document goes on, and only minimizers with several different stretches
-need bytes. Those stretches go into run-length indexes (a Burrows-Wheeler
+smallest document goes on, and of several different stretches under one minimizer
+only those need bytes that agree with another one around it as far as a shared window
+must (16-bit hashes of these contexts travel along, so that chance meetings of 16 bytes,
+which grow faster than the corpus, end there). Those stretches go into run-length indexes (a Burrows-Wheeler
 transform kept in runs, with the text place sampled at both ends of each run),
 and every stretch that has a smaller document beside it is streamed through as
 a query: its matching statistics say where at least ``length`` bytes match, and
@@ -24,10 +26,14 @@ from pyspark.sql import functions as F
 
 from .common import released, staged
 
+U = np.uint64
 LENGTH = 50
 GRAM = 16
+POSITION = U(19)  # low bits of a gram's hash that its place in a chunk takes
+BINS = 4  # contexts of a stretch: one for each quarter of the places that a window can have around its minimizer
 PIECE = 40  # windows of a stretch at most; longer ones (of one repeated letter, say) are cut
 CHUNK = 1 << 18  # bytes of a text whose hashes are held at a time
+PACK = 1 << 16  # short texts are hashed together up to so many bytes
 SLICE_BYTES = 8 << 20  # bytes of texts, or of stretches, that a task works on at a time
 UNIT_BYTES = 1 << 19  # stretches indexed together: whole minimizers, from about this many bytes on
 #: A minimizer expected in more stretches than this, or than a millionth of all, is cut into single windows.
@@ -35,7 +41,6 @@ COMMON = 4096
 SAMPLE_HITS = 64  # times that such a minimizer is expected in the sample of texts that finds it
 LAST = np.iinfo(np.int64).max  # stands for a null id: no document is later
 BARRIER = 0xFF  # never a byte of UTF-8
-U = np.uint64
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse mod 2^64
 
 
@@ -73,39 +78,94 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables[n]
 
 
-def stretches(text: bytes, length: int = LENGTH, common: np.ndarray | None = None, k: int = GRAM) -> np.ndarray:
+def stretches(text: bytes, length: int = LENGTH, common: np.ndarray | None = None, k: int = GRAM, contexts: bool = False) -> np.ndarray:
     """Rows (minimizer's hash, hash of the stretch's bytes, first window, end
     of windows), as integers, of a text's stretches in order. Stretches of minimizers in
-    ``common`` (sorted) are cut into windows, routed by their own hashes."""
-    parts, total = [], len(text) - length + 1
+    ``common`` (sorted) are cut into windows, routed by their own hashes.
+
+    With ``contexts`` a fifth row: BINS hashes of 16 bits, the first lowest. A window's
+    anchor is the leftmost place of its minimizer, at one of ``length - k + 1`` offsets;
+    the hash of a bin of offsets is of the bytes around the anchor that all windows with
+    such an offset hold, and 0 if the stretch has no such window. Stretches that share a
+    window agree in a bin that is not 0 for either. All are 0 if anchors differ within the stretch."""
+    return stretches_of([text], length, common, k, contexts)[1]
+
+
+def stretches_of(texts: list[bytes], length: int = LENGTH, common: np.ndarray | None = None, k: int = GRAM, contexts: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of several texts: which text each is of, and their rows as above."""
+    found = [_stretches(*pack, length, common, k, contexts) for pack in _packs(texts, length)]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros((4 + contexts, 0), np.int64)
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found], axis=1)
+
+
+def _packs(texts: list[bytes], length: int):
+    """(bytes, their texts, places in these) of chunks of long texts and of short texts together."""
+    held, owner, place, size = [], [], [], 0
+    for i, text in enumerate(texts):
+        for at in range(0, max(0, len(text) - length + 1), CHUNK):
+            part = text[at : at + CHUNK + length - 1]
+            if held and size + len(part) > PACK:
+                yield held, owner, place
+                held, owner, place, size = [], [], [], 0
+            held.append(part)
+            owner.append(i)
+            place.append(at)
+            size += len(part)
+    if held:
+        yield held, owner, place
+
+
+def _stretches(held, owner, place, length, common, k, contexts):
     up, down = powers(CHUNK + length)
-    for at in range(0, max(0, total), CHUNK):
-        n = min(CHUNK, total - at)
-        h = gram_hashes(text[at : at + n + length - 1], k)
-        m, span, s = h, length - k + 1, 1
-        while 2 * s <= span:
-            m = np.minimum(m[:-s], m[s:])
-            s *= 2
-        if s < span:
-            m = np.minimum(m[:n], m[span - s : span - s + n])
-        lo = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
-        size = np.diff(np.append(lo, n))
-        most = np.full(len(lo), PIECE)
-        if common is not None and len(common):
-            most[_held(m[lo], common)] = 1
-        if (size > most).any():
-            cuts = -(-size // most)
-            nth = np.arange(int(cuts.sum())) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-            lo, single = np.repeat(lo, cuts) + nth * np.repeat(most, cuts), np.repeat(most == 1, cuts)
-        else:
-            single = most == 1
-        hi = np.append(lo[1:], n)
-        sums = np.concatenate((np.zeros(1, U), np.cumsum(h * up[: len(h)], dtype=U)))
-        key = (sums[hi + (length - k)] - sums[lo]) * down[lo] + (hi - lo).astype(U) * U(0xC2B2AE3D27D4EB4F)
-        key = (key ^ (key >> U(32))) * U(0xD6E8FEB86659FD93)
-        key ^= key >> U(29)
-        parts.append(np.stack([np.where(single, key, m[lo]).view(np.int64), key.view(np.int64), lo + at, hi + at]))
-    return np.concatenate(parts, axis=1) if parts else np.zeros((4, 0), np.int64)
+    ends = np.cumsum([len(x) for x in held])
+    starts = ends - np.fromiter(map(len, held), np.int64, len(held))
+    h = gram_hashes(b"".join(held), k)
+    n = int(ends[-1]) - length + 1
+    m, span, s = (h >> POSITION << POSITION) | np.arange(len(h), dtype=U), length - k + 1, 1
+    while 2 * s <= span:
+        m = np.minimum(m[:-s], m[s:])
+        s *= 2
+    if s < span:
+        m = np.minimum(m[:n], m[span - s : span - s + n])
+    m, anchor = m >> POSITION, m
+    edge = np.concatenate(([True], m[1:] != m[:-1]))
+    edge[starts] = True
+    edge[ends[:-1] - length + 1] = True  # windows from here on reach into the next text
+    lo = np.flatnonzero(edge)
+    hi = np.append(lo[1:], n)
+    nth = np.searchsorted(starts, lo, side="right") - 1
+    if len(held) > 1:
+        whole = lo + length <= ends[nth]
+        lo, hi, nth = lo[whole], hi[whole], nth[whole]
+    most = np.full(len(lo), PIECE)
+    if common is not None and len(common):
+        most[_held(m[lo], common)] = 1
+    if (hi - lo > most).any():
+        cuts = -(-(hi - lo) // most)
+        step = (np.arange(int(cuts.sum())) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * np.repeat(most, cuts)
+        lo, hi, nth, most = np.repeat(lo, cuts) + step, np.repeat(hi, cuts), np.repeat(nth, cuts), np.repeat(most, cuts)
+        hi = np.minimum(hi, lo + most)
+    sums = np.concatenate((np.zeros(1, U), np.cumsum(h * up[: len(h)], dtype=U)))
+    key = (sums[hi + (length - k)] - sums[lo]) * down[lo] + (hi - lo).astype(U) * U(0xC2B2AE3D27D4EB4F)
+    key = (key ^ (key >> U(32))) * U(0xD6E8FEB86659FD93)
+    key ^= key >> U(29)
+    base = (np.array(place) - starts)[nth]
+    rows = [np.where(most == 1, key, m[lo]).view(np.int64), key.view(np.int64), lo + base, hi + base]
+    if contexts:
+        rows.append(_contexts(anchor[lo], anchor[hi - 1], lo, hi, sums, down, length, k))
+    return np.array(owner)[nth], np.stack(rows)
+
+
+def _contexts(anchor, last, lo, hi, sums, down, length, k) -> np.ndarray:
+    place = (anchor & ((U(1) << POSITION) - U(1))).astype(np.int64)
+    least, most, top = place - hi + 1, place - lo, len(sums) - 1
+    edge, out = [(length - k + 1) * j // BINS for j in range(BINS + 1)], np.zeros(len(lo), U)
+    for j, (a, b) in enumerate(zip(edge, edge[1:])):
+        x, y = np.maximum(place - a, 0), np.minimum(place + length - b + 2 - k, top)  # grams of the bytes
+        hashed = ((sums[y] - sums[x]) * down[x] * U(0xD6E8FEB86659FD93)) >> U(48)
+        out |= np.where((least < b) & (most >= a), np.maximum(hashed, U(1)), U(0)) << U(16 * j)
+    return np.where(anchor == last, out, U(0)).view(np.int64)
 
 
 def _held(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -320,14 +380,17 @@ def _sampled(length):
     def run(batches):
         for b in batches:
             for part in _slices(b):
-                found = [np.unique(stretches(t, length)[0]) for t in part.column("text").to_pylist() if t]
-                mh, n = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]), return_counts=True)
+                text, (mh, *_) = stretches_of([t or b"" for t in part.column("text").to_pylist()], length)
+                order = np.lexsort((text, mh))
+                text, mh = text[order], mh[order]
+                once = np.concatenate(([True], (text[1:] != text[:-1]) | (mh[1:] != mh[:-1])))[: len(mh)]
+                mh, n = np.unique(mh[once], return_counts=True)
                 yield _batch("mh long, n long", mh, n)
 
     return run
 
 
-OFFER = "bucket long, doc long, mh binary, sk binary, docs binary"
+OFFER = "bucket long, doc long, mh binary, sk binary, docs binary, contexts binary"
 TOLD = "doc long, gone binary, want binary"
 
 
@@ -343,47 +406,70 @@ def _offer(n_buckets, length, common):
                 for d, k1, t in zip(_ids(part.column("doc_id")).tolist(), part.column("k1").to_pylist(), part.column("text").to_pylist()):
                     if t and len(t) >= length and (k1 not in least or d < least[k1][0]):
                         least[k1] = d, t
-                found = [(d, stretches(t, length, known)) for d, t in least.values()]
-                if not found:
+                if not least:
                     continue
-                mh, sk = (np.concatenate([s[i] for _, s in found]) for i in (0, 1))
-                doc = np.repeat(np.array([d for d, _ in found], np.int64), [s.shape[1] for _, s in found])
+                which, (mh, sk, _, _, around) = stretches_of([t for _, t in least.values()], length, known, contexts=True)
+                doc = np.array([d for d, _ in least.values()], np.int64)[which]
                 order = np.lexsort((doc, sk))
-                mh, sk, doc = mh[order], sk[order], doc[order]
+                mh, sk, doc, around = mh[order], sk[order], doc[order], around[order]
                 first = np.concatenate(([True], sk[1:] != sk[:-1]))
                 low = np.repeat(doc[first], np.diff(np.append(np.flatnonzero(first), len(sk))))
                 later = (doc > low) & np.concatenate(([True], (sk[1:] != sk[:-1]) | (doc[1:] != doc[:-1])))
                 if later.any():
                     docs, (gone,) = _rows(doc[later], sk[later])
-                    yield _batch(OFFER, (docs.view(U) % U(n_buckets)).astype(np.int64), docs, None, gone, None)
-                keys, (mhs, sks, ids) = _rows(_bucket(mh[first], n_buckets), mh[first], sk[first], doc[first])
-                yield _batch(OFFER, keys, None, mhs, sks, ids)
+                    yield _batch(OFFER, (docs.view(U) % U(n_buckets)).astype(np.int64), docs, None, gone, None, None)
+                # half of a minimizer's hash does here: what meets by chance is told apart where bytes meet
+                half = ((mh[first].view(U) * U(BASE)) >> U(32)).astype(np.uint32)
+                keys, (mhs, sks, ids, arounds) = _rows(_bucket(mh[first], n_buckets), half, sk[first], doc[first], around[first])
+                yield _batch(OFFER, keys, None, mhs, sks, ids, arounds)
 
     return run
 
 
+def _several(group: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which entries (sorted by group) are in a group of several documents."""
+    heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    return np.repeat(np.minimum.reduceat(doc, heads) < np.maximum.reduceat(doc, heads), np.diff(np.append(heads, len(group))))
+
+
+def _agreeing(mh: np.ndarray, doc: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """Which stretches may share a window with one of another document: all under a minimizer (they
+    come together) that has one without contexts, else those that agree in a context."""
+    heads = np.flatnonzero(np.concatenate(([True], mh[1:] != mh[:-1])))
+    out = np.repeat(np.minimum.reduceat((around != 0).astype(np.int8), heads) == 0, np.diff(np.append(heads, len(mh))))
+    for j in range(BINS):
+        key = (around.view(U) >> U(16 * j)) & U(0xFFFF)
+        at = np.flatnonzero(key != 0)
+        if len(at):
+            key = (mh[at].astype(U) << U(16)) | key[at]
+            order = np.argsort(key, kind="stable")
+            out[at[order[_several(key[order], doc[at[order]])]]] = True
+    return out
+
+
 def _compare(batches):
-    """Per bucket: which documents lose a whole stretch to a smaller one, and
-    which are to send stretches because others share the minimizer."""
+    """Per bucket: which documents lose a whole stretch to a smaller one, and which
+    are to send stretches because others share the minimizer and a context of it."""
 
     def settle(parts):
-        mh, sk, doc = (np.concatenate([np.frombuffer(p[i], np.int64) for p in parts]) for i in range(3))
+        mh, sk, doc, around = (np.concatenate([np.frombuffer(p[i], np.int64 if i else np.uint32) for p in parts]) for i in range(4))
         order = np.argsort(mh, kind="stable")
         m = mh[order]
         edge = np.concatenate(([True], m[1:] != m[:-1], [True]))
         order = order[~(edge[1:] & edge[:-1])]  # minimizers offered once need nothing
-        mh, sk, doc = mh[order], sk[order], doc[order]
-        if not len(mh):
+        if not len(order):
             return None
+        mh, sk, doc, around = mh[order], sk[order], doc[order], around[order]
         order = np.lexsort((doc, sk, mh))
-        mh, sk, doc = mh[order], sk[order], doc[order]
+        mh, sk, doc, around = mh[order], sk[order], doc[order], around[order]
         first = np.concatenate(([True], (mh[1:] != mh[:-1]) | (sk[1:] != sk[:-1])))
         low = np.repeat(doc[first], np.diff(np.append(np.flatnonzero(first), len(sk))))
         gone = doc > low
         gdoc, (gsk,) = _rows(doc[gone], sk[gone])
-        mh, sk, doc = mh[first], sk[first], doc[first]
-        heads = np.flatnonzero(np.concatenate(([True], mh[1:] != mh[:-1])))
-        several = np.repeat(np.minimum.reduceat(doc, heads) < np.maximum.reduceat(doc, heads), np.diff(np.append(heads, len(mh))))
+        mh, sk, doc, around = mh[first], sk[first], doc[first], around[first]
+        several = np.flatnonzero(_several(mh, doc))
+        if len(several):
+            several = several[_agreeing(mh[several], doc[several], around[several])]
         wdoc, (wsk,) = _rows(doc[several], sk[several])
         return _batch(TOLD, np.concatenate([gdoc, wdoc]), gsk + [None] * len(wdoc), [None] * len(gdoc) + wsk)
 
@@ -392,7 +478,7 @@ def _compare(batches):
         whole = b.filter(pc.is_valid(b.column("doc")))
         if whole.num_rows:
             yield _batch(TOLD, whole.column("doc"), whole.column("sk"), None)
-        for bucket, doc, mh, sk, ids in _each(b):
+        for bucket, doc, *rest in _each(b):
             if doc is not None:
                 continue
             if bucket != now and parts:
@@ -400,7 +486,7 @@ def _compare(batches):
                     yield out
                 parts = []
             now = bucket
-            parts.append((mh, sk, ids))
+            parts.append(rest)
     if parts and (out := settle(parts)) is not None:
         yield out
 
@@ -408,6 +494,18 @@ def _compare(batches):
 SENT = "bucket long, doc long, k1 long, spans binary, mh binary, sk binary, docs binary, keys binary, at binary, n binary, s binary"
 
 
+def _among(owner: np.ndarray, sk: np.ndarray, told: list) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the (owner, stretch) pairs the owner was told, and a number for each pair of those."""
+    each = [np.frombuffer(b"".join(x), np.int64) for x in told]
+    theirs, whose = np.concatenate(each), np.repeat(np.arange(len(each)), [len(x) for x in each])
+    known = np.unique(theirs)
+    at = np.searchsorted(known, sk)
+    pair = at * len(each) + owner
+    out = _held(sk, known)
+    out[out] = _held(pair[out], np.sort(np.searchsorted(known, theirs) * len(each) + whose))
+    return out, pair
+
+
 def _send(n_buckets, length, common):
     """The spans of a text that are known to go, and the bytes of the stretches it was asked for."""
 
@@ -415,33 +513,27 @@ def _send(n_buckets, length, common):
         known = np.frombuffer(common, U)
         for b in batches:
             for part in _slices(b):
-                spans, asked, blobs, size = [], [], [], 0
-                for doc, k1, text, gone, want in zip(_ids(part.column("doc_id")).tolist(), *(part.column(c).to_pylist() for c in ("k1", "text", "gone", "want"))):
-                    gone, want = (np.sort(np.concatenate([np.frombuffer(x, np.int64) for x in xs] + [np.zeros(0, np.int64)])) for xs in (gone, want))
-                    mh, sk, lo, hi = stretches(text, length, known)
-                    out = _held(sk, gone)
-                    if out.any():
-                        spans.append((doc, k1, _spans(lo[out], hi[out] + length - 1).tobytes()))
-                    ask = np.flatnonzero(_held(sk, want) & ~out)
-                    if not len(ask):
-                        continue
-                    _, once = np.unique(sk[ask], return_index=True)
-                    n = np.zeros(len(ask), np.int64)  # a stretch that repeats here sends its bytes once
-                    n[once] = (hi - lo)[ask[once]] + length - 1
-                    asked.append(np.stack([mh[ask], sk[ask], np.full(len(ask), doc), np.full(len(ask), k1), lo[ask], n]))
-                    blobs.extend(text[x : x + y] for x, y in zip(lo[ask].tolist(), n.tolist()))
-                    size += int(n.sum())
-                    if size >= SLICE_BYTES // 4:
-                        yield sent(asked, blobs)
-                        asked, blobs, size = [], [], 0
-                if spans:
-                    d, k, s = map(list, zip(*spans))
-                    yield _batch(SENT, (np.array(k, np.int64).view(U) % U(n_buckets)).astype(np.int64), d, k, s, *[None] * 7)
-                if asked:
-                    yield sent(asked, blobs)
-
-    def sent(asked, blobs):
-        cols = np.concatenate(asked, axis=1)
+                texts, gone, want = (part.column(c).to_pylist() for c in ("text", "gone", "want"))
+                doc, k1 = _ids(part.column("doc_id")), part.column("k1").to_numpy()
+                owner, (mh, sk, lo, hi) = stretches_of(texts, length, known)
+                out, _ = _among(owner, sk, gone)
+                if out.any():
+                    o, spans = _merged(owner[out], lo[out], hi[out] + length - 1)
+                    yield _batch(SENT, (k1[o].view(U) % U(n_buckets)).astype(np.int64), doc[o], k1[o], spans, *[None] * 7)
+                ask, pair = _among(owner, sk, want)
+                ask = np.flatnonzero(ask & ~out)
+                _, once = np.unique(pair[ask], return_index=True)
+                n = np.zeros(len(ask), np.int64)  # a stretch that repeats here sends its bytes once
+                n[once] = (hi - lo)[ask[once]] + length - 1
+                reach, at = np.cumsum(n), 0
+                while at < len(ask):
+                    end = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + SLICE_BYTES // 4, side="right")))
+                    x, y = ask[at:end], n[at:end]
+                    blobs = [texts[i][a : a + w] for i, a, w in zip(owner[x].tolist(), lo[x].tolist(), y.tolist())]
+                    yield sent(np.stack([mh[x], sk[x], doc[owner[x]], k1[owner[x]], lo[x], y]), blobs)
+                    at = end
+
+    def sent(cols, blobs):
         keys, found = _rows(_bucket(cols[0], n_buckets), *cols, np.arange(cols.shape[1]))
         s = [b"".join([blobs[i] for i in np.frombuffer(x, np.int64).tolist()]) for x in found.pop()]
         return _batch(SENT, keys, None, None, None, *found, s)
@@ -449,6 +541,19 @@ def _send(n_buckets, length, common):
     return run
 
 
+def _merged(group: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Of spans sorted by group (numbers from 0 on) and start: the groups, and each one's merged spans."""
+    if not len(group):
+        return group, []
+    far = int(hi.max()) + 1
+    hi = np.maximum.accumulate(hi + group * far) - group * far
+    first = np.concatenate(([True], (group[1:] != group[:-1]) | (lo[1:] > hi[:-1])))
+    flat = np.stack([lo[first], hi[np.append(np.flatnonzero(first)[1:] - 1, len(lo) - 1)]], axis=1)
+    group, cut = np.unique(group[first], return_index=True)
+    blob = flat.astype(np.int64).tobytes()
+    return group, [blob[16 * a : 16 * b] for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(flat)])]
+
+
 def _spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Merged (start, end) pairs, flat; touching spans become one."""
     order = np.argsort(lo, kind="stable")
@@ -495,9 +600,9 @@ def _match(length):
         order = np.lexsort((lo, k1[entry], doc[entry]))
         entry, lo, hi = entry[order], lo[order], hi[order]
         d, k = doc[entry], k1[entry]
-        cut = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])))) if len(d) else np.zeros(0, int)
-        spans = [_spans(lo[x:y], hi[x:y]).tobytes() for x, y in zip(cut.tolist(), np.append(cut[1:], len(d)).tolist())]
-        return _batch(FOUND, d[cut], k[cut], spans)
+        head = np.concatenate(([True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])))[: len(d)]
+        _, spans = _merged(np.cumsum(head) - 1, lo, hi)
+        return _batch(FOUND, d[head], k[head], spans)
 
     def run(batches):
         parts, now = [], None

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,6 +285,59 @@ def test_equal_windows_share_a_route(common):
     assert all(m == route[(b"x" * 40 + t[:80])[w : w + 50]] for m, a, b in zip(other[0], other[2], other[3]) for w in range(a, b) if w >= 40)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_stretches_that_share_a_window_agree_in_a_context(seed):
+    random.seed(seed)
+    letters = b"ab" if seed % 3 == 0 else b"abcdefgh"
+    base = bytes(random.choice(letters) for _ in range(160)) + (b"xyz" * 30 if seed % 2 else b"")
+    found: dict = {}
+    met, apart = 0, 0
+    for _ in range(60):
+        x = bytearray(base)
+        for _ in range(2):
+            x[random.randrange(len(x))] = random.choice(letters)
+        rows = rindex.stretches(bytes(x), contexts=True)
+        assert (rows[:4] == rindex.stretches(bytes(x))).all()
+        for m, _, lo, hi, around in rows.T.tolist():
+            found.setdefault(m, {})[bytes(x[lo : hi + 49])] = [(around >> 16 * j) & 0xFFFF for j in range(4)]
+    for group in found.values():
+        windows = [({t[i : i + 50] for i in range(len(t) - 49)}, c) for t, c in group.items()]
+        for i, (a, c) in enumerate(windows):
+            for b, d in windows[:i]:
+                agree = not any(c) or not any(d) or any(x == y != 0 for x, y in zip(c, d))
+                assert agree or not a & b
+                met, apart = met + bool(a & b), apart + (not agree)
+    assert met > 20 and apart > 20
+
+
+def test_texts_hashed_together_keep_their_stretches():
+    random.seed(5)
+    some = lambda n: bytes(random.choice(b"ab c") for _ in range(n))
+    texts = [some(n) for n in (0, 49, 50, 51, 3000, 70_000, 50, 99, 700_000, 10, 200, 262_144 + 49)] + [b"z" * 600] + [some(random.randint(40, 400)) for _ in range(400)]
+    which, rows = rindex.stretches_of(texts, contexts=True)
+    assert (np.diff(which) >= 0).all()
+    for i, t in enumerate(texts):
+        assert (rows[:, which == i] == rindex.stretches(t, contexts=True)).all()
+        mine = rows[:, which == i]
+        assert int((mine[3] - mine[2]).sum()) == max(0, len(t) - 49) and (mine.size == 0 or mine[3, -1] == len(t) - 49)
+
+
+def test_stretches_that_meet_by_chance_send_no_bytes():
+    """Texts with one common phrase in different surroundings meet under its minimizers and share no
+    window; the bytes asked for are to follow what repeats, not how often phrases meet."""
+    random.seed(3)
+    noise = lambda n: "".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    copied = noise(70)
+    texts = [noise(60) + " under the terms of the " + noise(60) for _ in range(200)] + [noise(40) + copied + noise(40) for _ in range(5)]
+    texts = [t.encode() for t in texts]
+    table = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "k1", "text"])
+    offers = pa.Table.from_batches(list(rindex._offer(4, 50, b"")([table]))).sort_by("bucket")
+    told = pa.Table.from_batches(list(rindex._compare(offers.to_batches()))).to_pylist()
+    asked = [r["doc"] for r in told if r["want"] for _ in range(len(r["want"]) // 8)]
+    assert {d for d in asked if d >= 200} == set(range(200, 205))
+    assert sum(d < 200 for d in asked) <= 10
+
+
 def test_a_long_text_of_one_letter(docs):
     mh, sk, lo, hi = rindex.stretches(b"z" * 10_000_000)
     assert len(np.unique(sk)) <= 5 and hi[-1] == 10_000_000 - 49
